@@ -74,12 +74,20 @@ def clean_line(col) -> Column:
 
 
 def ngrams(tokens_col, n: int) -> Column:
-    """word n-grams of a token array (space-joined), in order; empty when too short."""
+    """word n-grams of a token array (space-joined), in order; empty when too short.
+
+    Built from ``n`` shifted slices zipped together, so the array is read a fixed
+    number of times (linear in its length). Pass a column reference: an inline
+    tokenizer expression would be evaluated once per slice.
+    """
     t = _c(tokens_col)
-    return F.when(F.size(t) >= n,
-                  F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)),
-                              lambda i: F.array_join(F.slice(t, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return t
+    count = F.size(t) - (n - 1)
+    grams = F.slice(t, 1, count)
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(t, k, count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def ngrams_range(tokens_col, lo: int = 1, hi: int = 3) -> Column:

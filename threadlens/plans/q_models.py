@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
@@ -16,6 +17,7 @@ from threadlens.operators.ranking import top_k_per_group
 from threadlens.operators.sampling import split as hash_split
 from threadlens.plans import sqlparts as S
 from threadlens.plans.registry import query
+from threadlens.session import materialize
 from threadlens.sources.tables import load
 
 W = S.with_
@@ -176,8 +178,8 @@ def cosine_to_centroids(spark, sf):
 def _labelled_tokens(spark, sf, ngram_hi=1):
     docs = _docs(spark, sf).select("doc_id", "lang", T.tokens("text").alias("tokens"))
     if ngram_hi > 1:
-        docs = docs.withColumn("tokens", T.ngrams_range("tokens", 1, ngram_hi))
-    return hash_split(docs, 0.7, 42, "doc_id")
+        docs = docs.withColumn("tokens", T.ngrams_range(F.col("tokens"), 1, ngram_hi))
+    return materialize(hash_split(docs, 0.7, 42, "doc_id"))
 
 
 @query("nb_ml")
@@ -200,7 +202,7 @@ def linear_ml(spark, sf):
 def forest_ml(spark, sf):
     docs = _docs(spark, sf).select("doc_id", T.tokens("text").alias("tokens"))
     lab = load(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    data = hash_split(docs.join(lab, "doc_id"), 0.7, 42, "doc_id")
+    data = materialize(hash_split(docs.join(lab, "doc_id"), 0.7, 42, "doc_id"))
     model = G.ml_forest("quality").fit(data.where(F.col("part") == "train"))
     pred = G.label_names(model, model.transform(data.where(F.col("part") == "test")))
     return pred.select("doc_id", F.col("quality").alias("label"), F.col("predicted_label").alias("prediction"))
@@ -211,3 +213,129 @@ def kmeans_ml(spark, sf):
     emb = load(spark, sf, "embeddings")
     _, assigned = K.kmeans_fit(emb, "embedding", k=10, seed=42)
     return assigned.select("vec_id", "cluster")
+
+
+# ---------------------------------------------------------------- word vectors, topics (rows-only)
+def _sentences(spark, sf):
+    """F11 records: token arrays of every text of every live thread, plus titles."""
+    from threadlens.operators import filters as B
+    from threadlens.operators import threads as C
+    from threadlens.sources.fixtures import items
+    its = items(spark, sf)
+    rows = C.thread_text(its, "once").select("id", T.tokens("text").alias("tokens"))
+    titles = B.stories(B.live(its)).select(F.col("id"), T.tokens("title").alias("tokens"))
+    return rows.unionByName(titles).select(F.monotonically_increasing_id().alias("sid"), "tokens")
+
+
+_FITTED: dict = {}
+
+
+def _fitted(key, build):
+    """Fit a model once per (kind, data folder) in this process; several queries read it."""
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
+def _w2v(spark, sf):
+    def build():
+        sents = WV.subsample(_sentences(spark, sf), "sid", "tokens", sample=1e-3)
+        model = WV.word2vec_fit(sents, "tokens", partitions=spark.sparkContext.defaultParallelism)
+        return materialize(WV.word_vectors(model))
+    return _fitted(("w2v", sf), build)
+
+
+@query("word2vec_vectors")
+def word2vec_vectors(spark, sf):
+    """Word2Vec (400 dims, min count 10, window 10, 1 iteration) over thread texts."""
+    return _w2v(spark, sf).select("word", F.size("vector").alias("dims"), FT.norm2("vector").alias("norm"))
+
+
+@query("word_synonyms")
+def word_synonyms(spark, sf):
+    """The 10 nearest words of the corpus' most frequent word."""
+    vecs = _w2v(spark, sf)
+    dt = E.term_frequencies(_docs(spark, sf), ["doc_id"])
+    probe = E.doc_freq(dt).join(vecs.select(F.col("word").alias("term")), "term") \
+        .orderBy(F.col("df").desc(), F.col("term")).limit(1).first()
+    return WV.most_similar(vecs, probe["term"], 10).withColumn("probe", F.lit(probe["term"]))
+
+
+@query("kmeans_words")
+def kmeans_words(spark, sf):
+    """G7 + E12: 25 clusters of word vectors; members of every cluster (summarised)."""
+    vecs = _w2v(spark, sf).withColumn("wid", F.xxhash64("word"))
+    _, assigned = K.kmeans_fit(vecs, "vector", k=25, seed=42)
+    members = assigned.select("cluster", F.col("word").alias("member"))
+    return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members"),
+                                          F.min("member").alias("first_member"))
+
+
+def _leaf_docs(spark, sf):
+    """C3 documents: per story, its title and leaf comment texts (long form)."""
+    from threadlens.operators import threads as C
+    from threadlens.sources.fixtures import items
+    its = items(spark, sf)
+    return its, C.leaf_corpus(its)
+
+
+@query("cluster_terms")
+def cluster_terms(spark, sf):
+    """G1 + G7 + G12: tf-idf of 1-3-grams (max_df .9, min_df .1, 200,000 features) → 8 clusters → 8 terms each."""
+    its, leaves = _leaf_docs(spark, sf)
+    toks = leaves.select("root_id", T.tokens_alpha("text").alias("t0")) \
+                 .select("root_id", T.ngrams_range("t0", 1, 3).alias("t"))
+    dt = toks.select("root_id", F.explode("t").alias("term")).groupBy("root_id", "term") \
+             .agg(F.count(F.lit(1)).alias("tf"))
+    w = materialize(FT.tfidf(dt, "root_id", min_df=0.1, max_df=0.9, max_features=200_000))
+    # the kept terms are at most max_features (bounded), so one numbering window is fine
+    vocab = materialize(w.select("term").distinct().withColumn(
+        "term_id", F.row_number().over(Window.orderBy("term")) - 1))
+    n_terms = vocab.count()
+    long = w.join(vocab, "term").select("root_id", "term_id", "weight")
+    vecs = FT.to_sparse(long, "root_id", "term_id", "weight", n_terms)
+    model, _ = K.kmeans_fit(vecs, "features", k=8, seed=42)
+    return K.centroid_terms(spark, model, vocab, 8)
+
+
+def _lda_corpus(spark, sf, roots=None):
+    from threadlens.plans.jobs import story_terms
+    from threadlens.sources.fixtures import items
+    its = items(spark, sf)
+    return its, story_terms(its, roots=roots).withColumnRenamed("root_id", "id")
+
+
+def _lda_model(spark, sf):
+    return _fitted(("lda", sf), lambda: _lda_build(spark, sf))
+
+
+def _lda_build(spark, sf):
+    from threadlens.operators import filters as B
+    from threadlens.operators.sampling import sample_n
+    its, _ = _lda_corpus(spark, sf)
+    train_roots = sample_n(B.stories(B.live(its)), 500_000, 42)
+    _, st = _lda_corpus(spark, sf, roots=train_roots)
+    st = materialize(st)
+    vocab = materialize(E.vocabulary(st, no_below=1, no_above=0.8, drop_top_n=30))
+    v = vocab.count()
+    vecs = TP.bow_vectors(E.bag_of_words(st, vocab), v)
+    model = TP.lda_fit(vecs, k=25, passes=100, chunk=7000)
+    return its, vocab, v, model
+
+
+@query("lda_topics")
+def lda_topics(spark, sf):
+    """25 topics, 20 words each."""
+    _, vocab, _, model = _lda_model(spark, sf)
+    return TP.describe_topics(model, vocab, 20)
+
+
+@query("tag_all_stories")
+def tag_all_stories(spark, sf):
+    """G10 + G11: every live titled story → thread tokens → bag of words → 3 best topics → labels."""
+    its, vocab, v, model = _lda_model(spark, sf)
+    _, st = _lda_corpus(spark, sf)
+    vecs = TP.bow_vectors(E.bag_of_words(st, vocab), v)
+    best = TP.best_topics(model, vecs, "id", 3, 0.01)
+    tags = TP.tag_documents(best, TP.topic_labels(spark), "id")
+    return tags.select("id", F.array_join("tag", "|").alias("tags"), F.size("tag").alias("n_tags"))

@@ -57,3 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/threadlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` once to the checkpoint folder and continue from the written copy.
+
+    Used before iterative fits (k-means, LDA, Word2Vec, logistic regression) so
+    every iteration reads the training table instead of re-running its whole
+    lineage, and a lost executor re-reads files instead of recomputing.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
