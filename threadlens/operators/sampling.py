@@ -48,16 +48,19 @@ def sample_stories(spark: SparkSession, items: DataFrame, n: int, seed: int = 42
     return assemble_threads(items, roots=roots, prune=True, live_mode=live_mode)
 
 
-def balanced_sample(df: DataFrame, cat_col: str, n: int, seed: int = 42, id_col: str = "id",
+def balanced_sample(df: DataFrame, cat_col: str, n: int | None = None, seed: int = 42, id_col: str = "id",
                     allow_short: bool = False, max_classes: int = 100_000) -> DataFrame:
-    """``n`` rows from every category.
+    """``n`` rows from every category (``n=None``: the size of the smallest category).
 
     Raises when a category has fewer than ``n`` rows unless ``allow_short``. The
     per-class size check reaches the driver as one row per class (bounded by
     ``max_classes``); the sample itself is a windowed ``row_number`` with a group
     limit, so a huge class ships at most ``n`` rows per map task.
     """
-    if not allow_short:
+    if n is None:
+        # one number reaches the driver; a literal limit keeps the pre-shuffle group limit
+        n = df.groupBy(cat_col).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
+    elif not allow_short:
         sizes = df.groupBy(cat_col).agg(F.count(F.lit(1)).alias("n"))
         short = sizes.where(F.col("n") < n).limit(max_classes).collect()
         if short:

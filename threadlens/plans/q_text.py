@@ -72,9 +72,11 @@ def sample_stories(spark, sf):
 @query("balanced_sample", f"""
 SELECT doc_id, lang FROM (
   SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {S.hash_key('doc_id')}, doc_id) AS rn
-  FROM documents) WHERE rn <= 50""")
+  FROM documents)
+WHERE rn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang))""")
 def balanced_sample(spark, sf):
-    return D.balanced_sample(_docs(spark, sf), "lang", 50, 42, "doc_id").select("doc_id", "lang")
+    """E4 + D5: as many documents per language as the smallest language has."""
+    return D.balanced_sample(_docs(spark, sf), "lang", None, 42, "doc_id").select("doc_id", "lang")
 
 
 @query("split", f"""
