@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from threadlens.functions.stopwords import BLACKLIST, PUNCTUATION, STOP_WORDS
 
 WORD_RUN = r"[\p{L}\p{N}]+"
+# A maximal letter/digit run with no ASCII digit, 2..24 characters long, as one
+# regex pass (lookarounds pin it to whole runs); same tokens as WORD_RUN + filters.
+TOKEN_RUN = r"(?<![\p{L}\p{N}])[\p{L}\p{N}&&[^0-9]]{%d,%d}(?![\p{L}\p{N}])"
 WHITESPACE = "[\t\n\f\r ]+"
 
 
@@ -28,9 +31,9 @@ def tokens(col, *, stop_words=STOP_WORDS, blacklist=BLACKLIST, min_len: int = 2,
            max_len: int = 24) -> Column:
     """main tokenizer. Null text gives an empty array."""
     drop = sorted(set(stop_words) | set(blacklist))
-    raw = F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit(WORD_RUN), 0)
-    return F.filter(raw, lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len)
-                    & ~t.rlike("[0-9]") & ~t.isin(drop))
+    raw = F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))),
+                               F.lit(TOKEN_RUN % (min_len, max_len)), 0)
+    return F.filter(raw, lambda t: ~t.isin(drop))
 
 
 def strip_punctuation(col) -> Column:

@@ -4,9 +4,9 @@ Threads are kept flat: one row per node with ``root_id``, ``depth`` and ``path``
 (ids from the root down to the node). Thread assembly is a level loop: each
 round equi-joins the current frontier with the ``(id, parent)`` edge list, so a
 story with a million comments costs one shuffle join per level, not one lookup
-per comment. Each level is cut from the lineage with a reliable ``checkpoint()``
-into ``spark.checkpoint.dir`` so a lost executor re-reads it instead of
-recomputing all earlier levels.
+per comment. Each level is cut from the lineage by writing it
+into ``spark.checkpoint.dir`` (a Parquet table per level) so a lost executor
+re-reads it instead of recomputing all earlier levels.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.text import unescape_html
 from threadlens.operators.filters import live
+from threadlens.session import materialize
 
 TREE_COLS = ["root_id", "id", "parent", "depth", "path"]
 
@@ -52,25 +53,26 @@ def assemble_threads(items: DataFrame, roots: DataFrame | None = None, *, prune:
     edges = (nodes.where(F.col("parent").isNotNull())
                   .select(F.col("id"), F.col("parent"))
                   .persist(StorageLevel.MEMORY_AND_DISK))
-    level = roots.select(F.col("id").alias("root_id"), F.col("id"),
-                         F.col("parent").cast("bigint").alias("parent"),
-                         F.lit(0).alias("depth"), F.array(F.col("id")).alias("path")
-                         ).checkpoint(eager=True)
+    level = materialize(roots.select(F.col("id").alias("root_id"), F.col("id"),
+                                     F.col("parent").cast("bigint").alias("parent"),
+                                     F.lit(0).alias("depth"), F.array(F.col("id")).alias("path")), "level")
     parts = [level]
     try:
         for depth in range(1, max_depth + 2):
-            if depth > max_depth:
-                raise RuntimeError(f"thread deeper than max_depth={max_depth}")
             front = level.select(F.col("id").alias("_fid"), "root_id", "path")
-            nxt = (edges.join(front, edges["parent"] == front["_fid"], "inner")
-                        .select("root_id", "id", "parent", F.lit(depth).alias("depth"),
-                                F.concat(F.col("path"), F.array(F.col("id"))).alias("path"),
-                                F.array_contains(F.col("path"), F.col("id")).alias("_cycle"))
-                        .checkpoint(eager=True))
-            if nxt.isEmpty():
+            nxt = materialize(
+                edges.join(front, edges["parent"] == front["_fid"], "inner")
+                     .select("root_id", "id", "parent", F.lit(depth).alias("depth"),
+                             F.concat(F.col("path"), F.array(F.col("id"))).alias("path"),
+                             F.array_contains(F.col("path"), F.col("id")).alias("_cycle")), "level")
+            # one small job per level: the frontier size and whether a node repeats on its path
+            n_rows, n_cycles = nxt.agg(F.count(F.lit(1)), F.sum(F.col("_cycle").cast("int"))).first()
+            if n_rows == 0:
                 break
-            if not nxt.where(F.col("_cycle")).isEmpty():
+            if n_cycles:
                 raise ThreadCycleError("parent pointers form a cycle below a root")
+            if depth > max_depth:
+                raise RuntimeError(f"thread deeper than max_depth={max_depth}")
             level = nxt.drop("_cycle")
             parts.append(level)
     finally:

@@ -59,12 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/threadlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Write ``df`` once to the checkpoint folder and continue from the written copy.
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the checkpoint folder and continue from the files.
 
-    Used before iterative fits (k-means, LDA, Word2Vec, logistic regression) so
-    every iteration reads the training table instead of re-running its whole
-    lineage, and a lost executor re-reads files instead of recomputing.
+    This cuts the lineage (level loops, iterative fits) with a single job:
+    ``Dataset.checkpoint`` on an uncached plan computes it twice (once to count,
+    once to write). Readers of the result scan files, so a lost executor costs
+    a re-read, not a recomputation of every earlier step.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -24,10 +24,9 @@ DELETED_MOD = 31       # every 31st comment is deleted
 DEAD_EVENT = "error"   # comments from 'error' events are dead
 
 
-def _id_space(df: DataFrame, col: str) -> int:
-    """Size of a contiguous id space (max + 1); one scalar reaches the driver."""
-    top = df.agg(F.max(col)).first()[0]
-    return 0 if top is None else int(top) + 1
+def _id_space(df: DataFrame, col: str) -> Column:
+    """Size of a contiguous id space (max + 1), as a scalar subquery inside the plan."""
+    return df.select(F.greatest(F.coalesce(F.max(col) + 1, F.lit(1)), F.lit(1))).scalar()
 
 
 def _flag(cond: Column, presence: bool) -> Column:
@@ -45,8 +44,8 @@ def items(spark: SparkSession, sf_dir: str, *, presence: bool = False, with_text
     events = load(spark, sf_dir, "events")
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
     bench = load(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("title"))
-    n_docs = max(_id_space(docs, "doc_id"), 1) if with_text else 1
-    n_bench = max(_id_space(bench, "item_id"), 1)
+    n_docs = _id_space(docs, "doc_id") if with_text else F.lit(1)
+    n_bench = _id_space(bench, "item_id")
 
     r = F.pmod(F.col("event_id"), F.lit(BLOCK))
     base = events.select(
@@ -59,8 +58,8 @@ def items(spark: SparkSession, sf_dir: str, *, presence: bool = False, with_text
         F.floor(F.col("value")).cast("bigint").alias("score"),
         _flag((F.col("event_type") == F.lit(DEAD_EVENT)) & (r != 0), presence).alias("dead"),
         _flag((F.pmod(F.col("event_id"), F.lit(DELETED_MOD)) == 0) & (r != 0), presence).alias("deleted"),
-        F.pmod(F.col("event_id"), F.lit(n_docs)).alias("_doc_key"),
-        F.when(r == 0, F.pmod(F.floor(F.col("event_id") / BLOCK).cast("bigint"), F.lit(n_bench)))
+        F.pmod(F.col("event_id"), n_docs).alias("_doc_key"),
+        F.when(r == 0, F.pmod(F.floor(F.col("event_id") / BLOCK).cast("bigint"), n_bench))
          .alias("_title_key"),
         F.floor(F.col("event_id") / BLOCK).cast("bigint").alias("_block"),
         (F.pmod(F.col("event_id"), F.lit(TEXTLESS_MOD)) == 0).alias("_textless"),
