@@ -56,13 +56,21 @@ def doc_freq(doc_terms: DataFrame, id_col: str = "id") -> DataFrame:
                                          F.sum("tf").cast("bigint").alias("cf"))
 
 
-def idf(doc_terms: DataFrame, id_col: str = "id", digits: int = 4) -> DataFrame:
-    """``(term, df, idf)`` with ``idf = round(ln(N / df), digits)``; N = distinct documents.
+def n_documents(docs: DataFrame) -> Column:
+    """Number of input documents as a scalar subquery (a cheap count, no tokenizing)."""
+    return docs.select(F.count(F.lit(1))).scalar()
 
-    N is a scalar subquery inside the same plan. (As in the reference, term
-    frequency is not multiplied in; see :func:`tf_idf` for that.)
+
+def idf(doc_terms: DataFrame, id_col: str = "id", digits: int = 4, n_docs=None) -> DataFrame:
+    """``(term, df, idf)`` with ``idf = round(ln(N / df), digits)``.
+
+    N is the number of input documents (pass ``n_docs``, e.g. :func:`n_documents`);
+    by default the documents that have a token. It is a scalar subquery inside
+    the same plan. (As in the reference, term frequency is not multiplied in;
+    see :func:`tf_idf` for that.)
     """
-    n_docs = doc_terms.select(F.countDistinct(id_col)).scalar()
+    if n_docs is None:
+        n_docs = doc_terms.select(F.countDistinct(id_col)).scalar()
     dfs = doc_freq(doc_terms, id_col)
     return dfs.select("term", "df", F.round(F.ln(n_docs / F.col("df")), digits).alias("idf"))
 
@@ -76,7 +84,7 @@ def tf_idf(doc_terms: DataFrame, id_col: str = "id", digits: int = 4) -> DataFra
 
 def vocabulary(doc_terms: DataFrame, *, id_col: str = "id", no_below: int = 1,
                no_above: float = 1.0, drop_top_n: int = 0, min_count: int = 1,
-               max_features: int | None = None) -> DataFrame:
+               max_features: int | None = None, n_docs=None) -> DataFrame:
     """``(term, term_id, df, cf)`` after pruning, numbered by (df desc, term).
 
     ``no_below``: min document count; ``no_above``: max document share;
@@ -85,7 +93,8 @@ def vocabulary(doc_terms: DataFrame, *, id_col: str = "id", no_below: int = 1,
     The kept vocabulary must be at most ``MAX_VOCABULARY`` terms (its numbering
     window and broadcast depend on that bound).
     """
-    n_docs = doc_terms.select(F.countDistinct(id_col)).scalar()
+    if n_docs is None:
+        n_docs = doc_terms.select(F.countDistinct(id_col)).scalar()
     v = doc_freq(doc_terms, id_col).where(
         (F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above) * n_docs)
         & (F.col("cf") >= min_count))

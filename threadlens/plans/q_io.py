@@ -94,7 +94,7 @@ def split_files(spark, sf):
 @query("vocabulary_roundtrip", W(
     f"dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY doc_id, term)",
     """stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dt GROUP BY term),
-kept AS (SELECT * FROM stats WHERE df >= 2 AND df <= 0.8 * (SELECT count(DISTINCT doc_id) FROM dt)),
+kept AS (SELECT * FROM stats WHERE df >= 2 AND df <= 0.8 * (SELECT count(*) FROM documents)),
 top30 AS (SELECT term FROM kept ORDER BY df DESC, term LIMIT 30),
 vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS term_id, df, cf
           FROM (SELECT * FROM kept WHERE term NOT IN (SELECT term FROM top30) ORDER BY df DESC, term LIMIT 2000))""",
@@ -104,7 +104,7 @@ def vocabulary_roundtrip(spark, sf):
     path = scratch_path(spark, "vocab")
     dt = E.term_frequencies(load(spark, sf, "documents"), ["doc_id"])
     SK.save_vocabulary(E.vocabulary(dt, id_col="doc_id", no_below=2, no_above=0.8, drop_top_n=30,
-                                    max_features=2000), path)
+                                    max_features=2000, n_docs=E.n_documents(load(spark, sf, "documents"))), path)
     return spark.read.parquet(path)
 
 

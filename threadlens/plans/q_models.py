@@ -34,14 +34,14 @@ def _doc_terms(spark, sf):
 
 
 # ---------------------------------------------------------------- G1 tf-idf
-@query("tfidf_top_terms", W(_DT, """n AS (SELECT count(DISTINCT doc_id) AS n FROM dt),
+@query("tfidf_top_terms", W(_DT, """n AS (SELECT count(*) AS n FROM documents),
 st AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
 w AS (SELECT dt.doc_id, dt.term, dt.tf * (ln((n.n + 1) / (st.df + 1)) + 1) AS w FROM dt JOIN st USING (term), n),
 wn AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)""", body="""
 SELECT doc_id, term, round(weight, 6) AS weight, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM wn) WHERE rank <= 10"""))
 def tfidf_top_terms(spark, sf):
-    w = FT.tfidf(_doc_terms(spark, sf), "doc_id")
+    w = FT.tfidf(_doc_terms(spark, sf), "doc_id", n_docs=E.n_documents(_docs(spark, sf)))
     top = top_k_per_group(w, ["doc_id"], [F.col("weight").desc(), F.col("term")], 10)
     return top.select("doc_id", "term", F.round("weight", 6).alias("weight"), "rank")
 
@@ -70,7 +70,8 @@ pred AS (SELECT doc_id, label, class AS prediction FROM scores WHERE r = 1)""",
 
 
 def _nb(spark, sf):
-    dt = _doc_terms(spark, sf)
+    # fitting and scoring both read the token table: write it once
+    dt = materialize(_doc_terms(spark, sf), "doc_terms")
     parts = hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id")
     train = parts.where(F.col("part") == "train")
     test = parts.where(F.col("part") == "test")

@@ -209,14 +209,14 @@ def _doc_terms(spark, sf):
 
 
 @query("idf_documents", W(_DT, body="""
-SELECT term, count(*) AS df, round(ln((SELECT count(DISTINCT doc_id) FROM dt) / count(*)), 4) AS idf
+SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)), 4) AS idf
 FROM dt GROUP BY term"""))
 def idf_documents(spark, sf):
-    return E.idf(_doc_terms(spark, sf), "doc_id")
+    return E.idf(_doc_terms(spark, sf), "doc_id", n_docs=E.n_documents(_docs(spark, sf)))
 
 
 _VOCAB = """stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dt GROUP BY term),
-kept AS (SELECT * FROM stats WHERE df >= 2 AND df <= 0.8 * (SELECT count(DISTINCT doc_id) FROM dt)),
+kept AS (SELECT * FROM stats WHERE df >= 2 AND df <= 0.8 * (SELECT count(*) FROM documents)),
 top30 AS (SELECT term FROM kept ORDER BY df DESC, term LIMIT 30),
 vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS term_id, df, cf
           FROM (SELECT * FROM kept WHERE term NOT IN (SELECT term FROM top30) ORDER BY df DESC, term LIMIT 2000))"""
@@ -224,7 +224,8 @@ vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS IN
 
 def _vocab(spark, sf, dt=None):
     dt = dt if dt is not None else _doc_terms(spark, sf)
-    return E.vocabulary(dt, id_col="doc_id", no_below=2, no_above=0.8, drop_top_n=30, max_features=2000)
+    return E.vocabulary(dt, id_col="doc_id", no_below=2, no_above=0.8, drop_top_n=30, max_features=2000,
+                        n_docs=E.n_documents(_docs(spark, sf)))
 
 
 @query("vocabulary", W(_DT, _VOCAB, body="SELECT term, term_id, df, cf FROM vocab"))
