@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.text import tokens as default_tokens
 
-# Largest vocabulary that may be numbered in one window or broadcast to tasks.
+# Largest vocabulary that may be numbered in one window.
 MAX_VOCABULARY = 2_000_000
+# Largest vocabulary that is broadcast to every task (about 200,000 short strings).
+BROADCAST_TERMS = 200_000
 
 
 def explode_tokens(df: DataFrame, keys: Sequence[str], text_col: str = "text",
@@ -109,15 +111,19 @@ def vocabulary(doc_terms: DataFrame, *, id_col: str = "id", no_below: int = 1,
             .select("term", "term_id", "df", "cf")
 
 
-def bag_of_words(doc_terms: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataFrame:
+def bag_of_words(doc_terms: DataFrame, vocab: DataFrame, id_col: str = "id",
+                 vocab_bound: int | None = None) -> DataFrame:
     """``(id, term_id, tf)``; terms outside the vocabulary are dropped.
 
-    The vocabulary is bounded (``MAX_VOCABULARY``), so it is broadcast and the
-    token side is never shuffled for this join.
+    When the vocabulary's size is bounded by ``vocab_bound`` (its ``max_features``)
+    and that bound is at most ``BROADCAST_TERMS``, it is broadcast and the token
+    side is not shuffled for this join; otherwise AQE picks the strategy from
+    the measured size.
     """
     v = vocab.select(F.col("term").alias("_vt"), "term_id")
-    return doc_terms.join(F.broadcast(v), doc_terms["term"] == v["_vt"], "inner") \
-                    .select(id_col, "term_id", "tf")
+    if vocab_bound is not None and vocab_bound <= BROADCAST_TERMS:
+        v = F.broadcast(v)
+    return doc_terms.join(v, doc_terms["term"] == v["_vt"], "inner").select(id_col, "term_id", "tf")
 
 
 def token_totals(doc_terms: DataFrame) -> DataFrame:

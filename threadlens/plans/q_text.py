@@ -237,7 +237,7 @@ def vocabulary(spark, sf):
 SELECT dt.doc_id, v.term_id, CAST(dt.tf AS BIGINT) AS tf FROM dt JOIN vocab v ON v.term = dt.term"""))
 def bag_of_words(spark, sf):
     dt = _doc_terms(spark, sf)
-    return E.bag_of_words(dt, _vocab(spark, sf, dt), "doc_id")
+    return E.bag_of_words(dt, _vocab(spark, sf, dt), "doc_id", vocab_bound=2000)
 
 
 @query("token_totals", W(_DT, body="SELECT CAST(sum(tf) AS BIGINT) AS n_tokens, count(DISTINCT term) AS n_terms FROM dt"))
