@@ -30,7 +30,8 @@ def _docs(spark, sf):
 
 
 def _doc_terms(spark, sf):
-    return E.term_frequencies(_docs(spark, sf), ["doc_id"])
+    # the (doc, term, tf) table feeds several aggregates of one plan: tokenize once
+    return materialize(E.term_frequencies(_docs(spark, sf), ["doc_id"]), "doc_terms")
 
 
 # ---------------------------------------------------------------- G1 tf-idf
@@ -71,7 +72,7 @@ pred AS (SELECT doc_id, label, class AS prediction FROM scores WHERE r = 1)""",
 
 def _nb(spark, sf):
     # fitting and scoring both read the token table: write it once
-    dt = materialize(_doc_terms(spark, sf), "doc_terms")
+    dt = _doc_terms(spark, sf)
     parts = hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id")
     train = parts.where(F.col("part") == "train")
     test = parts.where(F.col("part") == "test")
@@ -243,7 +244,7 @@ def _w2v(spark, sf):
         sents = WV.subsample(_sentences(spark, sf), "sid", "tokens", sample=1e-3)
         model = WV.word2vec_fit(sents, "tokens", partitions=spark.sparkContext.defaultParallelism)
         return materialize(WV.word_vectors(model))
-    return _fitted(("w2v", sf), build)
+    return _fitted(("w2v", sf, spark.sparkContext.applicationId), build)
 
 
 @query("word2vec_vectors")
@@ -307,7 +308,7 @@ def _lda_corpus(spark, sf, roots=None):
 
 
 def _lda_model(spark, sf):
-    return _fitted(("lda", sf), lambda: _lda_build(spark, sf))
+    return _fitted(("lda", sf, spark.sparkContext.applicationId), lambda: _lda_build(spark, sf))
 
 
 def _lda_build(spark, sf):

@@ -15,6 +15,7 @@ from threadlens.operators import terms as E
 from threadlens.operators import threads as C
 from threadlens.plans import sqlparts as S
 from threadlens.plans.registry import query
+from threadlens.session import materialize
 from threadlens.sources.fixtures import items
 from threadlens.sources.tables import load
 
@@ -205,7 +206,8 @@ _DT = f"dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({
 
 
 def _doc_terms(spark, sf):
-    return E.term_frequencies(_docs(spark, sf), ["doc_id"])
+    # the (doc, term, tf) table feeds several aggregates of one plan: tokenize once
+    return materialize(E.term_frequencies(_docs(spark, sf), ["doc_id"]), "doc_terms")
 
 
 @query("idf_documents", W(_DT, body="""
