@@ -154,3 +154,27 @@ def process_new_stories_q(spark, sf):
                             word_freq_of, schema)
     out = spark.read.schema(schema).parquet(f"{base}/out")
     return out.groupBy("id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("freq").cast("bigint").alias("n_tokens"))
+
+
+@query("term_freq_csv", W(S.items_cte(descendants=True),
+                          "story_roots AS (SELECT * FROM items WHERE type = 'story' AND descendants > 0)",
+                          S.tree_cte("items", "story_roots"), f"""story_terms AS (
+  SELECT t.root_id, unnest({S.tokens_freq('i.text')}) AS term FROM tree t JOIN items i ON i.id = t.id
+  WHERE i.text IS NOT NULL AND NOT coalesce(i.dead, FALSE))""", body="""
+SELECT root_id AS id, count(DISTINCT term) AS n_words, count(*) AS n_tokens FROM story_terms GROUP BY root_id""",
+                          recursive=True))
+def term_freq_csv(spark, sf):
+    """§3.3 job: stories processed in id-range slices, each slice's (Word, Freq, Id) rows appended to one CSV."""
+    path = scratch_path(spark, "term_freq")
+    its = items(spark, sf, with_descendants=True)
+    stories = B.min_descendants(its.where(F.col("type") == "story"), 0)
+    top = stories.agg(F.max("id")).first()[0] or 0          # one scalar: the id space
+    step = top // 2 + 1
+    for lo in range(0, top + 1, step):
+        part = B.id_range(stories, lo, lo + step, "[)")
+        rows = C.comment_corpus(its, part)
+        wf = E.word_freq(rows, ["root_id"], tokenizer=T.tokens_freq).withColumnRenamed("root_id", "id")
+        SK.append_term_freq(wf, path, "csv")
+    back = spark.read.schema("Word string, Freq bigint, Id bigint").csv(path)
+    return back.groupBy(F.col("Id").alias("id")).agg(F.count(F.lit(1)).alias("n_words"),
+                                                     F.sum("Freq").cast("bigint").alias("n_tokens"))

@@ -186,8 +186,15 @@ def _labelled_tokens(spark, sf, ngram_hi=1):
 
 @query("nb_ml")
 def nb_ml(spark, sf):
+    """G2 (MLlib) with A14: the fitted pipeline is saved, loaded back, and the loaded copy scores."""
+    from pyspark.ml import PipelineModel
+    from threadlens.session import scratch_path
+    from threadlens.sources.sinks import save_model
     parts = _labelled_tokens(spark, sf)
-    model = G.ml_naive_bayes("lang").fit(parts.where(F.col("part") == "train"))
+    fitted = G.ml_naive_bayes("lang").fit(parts.where(F.col("part") == "train"))
+    path = scratch_path(spark, "nb_model")
+    save_model(fitted, path)
+    model = PipelineModel.load(path)
     pred = G.label_names(model, model.transform(parts.where(F.col("part") == "test")))
     return pred.select("doc_id", F.col("lang").alias("label"), F.col("predicted_label").alias("prediction"))
 
@@ -340,4 +347,9 @@ def tag_all_stories(spark, sf):
     vecs = TP.bow_vectors(E.bag_of_words(st, vocab), v)
     best = TP.best_topics(model, vecs, "id", 3, 0.01)
     tags = TP.tag_documents(best, TP.topic_labels(spark), "id")
-    return tags.select("id", F.array_join("tag", "|").alias("tags"), F.size("tag").alias("n_tags"))
+    from threadlens.session import scratch_path
+    from threadlens.sources.sinks import append_tags
+    store = scratch_path(spark, "tags")
+    append_tags(tags, store)                      # A11: the tag store
+    back = spark.read.parquet(store)
+    return back.select("id", F.array_join("tag", "|").alias("tags"), F.size("tag").alias("n_tags"))
