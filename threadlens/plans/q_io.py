@@ -21,7 +21,7 @@ from threadlens.sources import readers as RD
 from threadlens.sources import sinks as SK
 from threadlens.sources.fixtures import ALLOWED_CATEGORIES, comment_lines, items
 from threadlens.sources.tables import load
-from threadlens.streaming.ingest import ingest_stream, process_new_stories
+from threadlens.streaming.ingest import ingest_stream, ingest_stream_stateful, process_new_stories
 
 W = S.with_
 
@@ -178,3 +178,13 @@ def term_freq_csv(spark, sf):
     back = spark.read.schema("Word string, Freq bigint, Id bigint").csv(path)
     return back.groupBy(F.col("Id").alias("id")).agg(F.count(F.lit(1)).alias("n_words"),
                                                      F.sum("Freq").cast("bigint").alias("n_tokens"))
+
+
+@query("ingest_stream_stateful", W(S.items_cte(), body="SELECT id, type, parent, md5(text) AS text_md5 FROM items"))
+def ingest_stream_stateful_q(spark, sf):
+    """H1 (stateful): duplicate ids across landed files dropped in watermarked streaming state."""
+    base = scratch_path(spark, "ingest_state")
+    _land(spark, sf, f"{base}/landing")
+    ingest_stream_stateful(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint")
+    store = spark.read.schema(ITEM).parquet(f"{base}/store")
+    return store.select("id", "type", "parent", F.md5("text").alias("text_md5"))
