@@ -90,3 +90,20 @@ def test_empty_input_keeps_schema(make_items):
     its = make_items([])
     tree = C.assemble_threads(its)
     assert tree.count() == 0 and tree.columns == C.TREE_COLS
+
+
+def test_pointer_doubling_equals_level_loop(make_items):
+    its = make_items([story(1), comment(2, 1), comment(3, 2, dead=True), comment(4, 3), comment(5, 1),
+                      story(10, deleted=True), comment(11, 10), comment(20, 99)])
+    a = rows(C.assemble_threads(its), "root_id", "id", "depth")
+    b = rows(C.thread_roots(its), "root_id", "id", "depth")
+    assert a == b == [(1, 1, 0), (1, 2, 1), (1, 5, 1)]
+
+
+def test_pointer_doubling_deep_chain_and_cycle(make_items):
+    n = 150
+    its = make_items([story(0)] + [comment(i, i - 1) for i in range(1, n)])
+    assert C.thread_roots(its).agg(F.max("depth")).first()[0] == n - 1
+    cyc = make_items([story(1), comment(2, 3), comment(3, 2)])
+    with pytest.raises(C.ThreadCycleError):
+        C.thread_roots(cyc)

@@ -225,3 +225,57 @@ def pick_listed(items: DataFrame, ranked: DataFrame) -> DataFrame:
     r = ranked.select(F.col("id").alias("_rid"), "position")
     return (items.join(F.broadcast(r), items["id"] == r["_rid"], "inner")
                  .drop("_rid").orderBy("position"))
+
+
+def thread_roots(items: DataFrame, *, prune: bool = True, live_mode: str = "falsy",
+                 story_roots: bool = True, max_rounds: int | None = None) -> DataFrame:
+    """C1 by pointer doubling: ``(root_id, id, parent, depth)`` in about log2(depth) joins.
+
+    Every node starts pointing at its parent (a root at itself) and carries the
+    distance to its pointer and whether any node from itself up to (excluding)
+    its pointer is dead or deleted. Each round replaces the pointer by the
+    pointer's pointer, adding distances and OR-ing the flags, until no pointer
+    moves. A node belongs to a pruned thread when nothing on its root path is
+    dead or deleted. Use it for deep threads, where the level loop would need
+    one round per level; it yields no ``path``. Nodes on a cycle never settle:
+    after ``max_rounds`` (default ``ceil(log2 N) + 2``) it raises.
+    """
+    import math
+    flag = ~(F.coalesce(F.col("deleted"), F.lit(False)) | F.coalesce(F.col("dead"), F.lit(False))) \
+        if live_mode == "falsy" else (F.col("deleted").isNull() & F.col("dead").isNull())
+    nodes = items.select("id", "parent", "type", (~flag).alias("_bad"))
+    present = nodes.select(F.col("id").alias("_pid"))
+    linked = nodes.join(present, nodes["parent"] == present["_pid"], "left")
+    state = materialize(linked.select(
+        "id", "parent", "type",
+        F.coalesce(F.col("_pid"), F.col("id")).alias("ptr"),
+        F.when(F.col("_pid").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("dist"),
+        F.col("_bad").alias("bad")), "doubling")
+    n = state.count()
+    rounds = max_rounds or (int(math.ceil(math.log2(max(n, 2)))) + 2)
+    for _ in range(rounds):
+        hop = state.select(F.col("id").alias("_hid"), F.col("ptr").alias("_hptr"),
+                           F.col("dist").alias("_hdist"), F.col("bad").alias("_hbad"))
+        nxt = materialize(
+            state.join(hop, state["ptr"] == hop["_hid"], "inner").select(
+                "id", "parent", "type", F.col("_hptr").alias("ptr"),
+                (F.col("dist") + F.col("_hdist")).alias("dist"),
+                (F.col("bad") | F.col("_hbad")).alias("bad"),
+                (F.col("_hptr") != F.col("ptr")).alias("_moved")), "doubling")
+        # a node whose pointer reaches itself again with a distance travelled is on a cycle
+        moved, cyclic = nxt.agg(F.sum(F.col("_moved").cast("int")),
+                                F.sum(((F.col("ptr") == F.col("id")) & (F.col("dist") > 0)).cast("int"))).first()
+        if cyclic:
+            raise ThreadCycleError("parent pointers form a cycle")
+        state = nxt.drop("_moved")
+        if not moved:
+            break
+    else:
+        raise ThreadCycleError(f"pointers did not settle in {rounds} rounds (a cycle)")
+    out = state
+    if story_roots:
+        root_type = state.select(F.col("id").alias("_rid"), F.col("type").alias("_rtype"))
+        out = out.join(root_type, out["ptr"] == root_type["_rid"], "inner").where(F.col("_rtype") == "story")
+    if prune:
+        out = out.where(~F.col("bad"))
+    return out.select(F.col("ptr").alias("root_id"), "id", "parent", F.col("dist").alias("depth"))

@@ -114,6 +114,13 @@ def assemble_threads(spark, sf):
     return tree.select("root_id", "id", "parent", "depth", C.path_string().alias("path"))
 
 
+@query("thread_roots_doubling", W(IT, _LIVE_NODES, _LIVE_ROOTS, S.tree_cte("live_nodes", "live_roots"),
+                                  body="SELECT root_id, id, parent, depth FROM tree", recursive=True))
+def thread_roots_doubling(spark, sf):
+    """C1 by pointer doubling (log2(depth) joins): root and depth of every node of a live thread."""
+    return C.thread_roots(items(spark, sf, with_text=False))
+
+
 @query("link_forest", W(IT, _LIVE_NODES, body="""
 SELECT n.id, p.id AS parent, p.id IS NULL AS is_root,
        (SELECT count(*) FROM live_nodes c WHERE c.parent = n.id) AS n_children
