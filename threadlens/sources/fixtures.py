@@ -84,10 +84,16 @@ def items(spark: SparkSession, sf_dir: str, *, presence: bool = False, with_text
         cols.append("descendants")
     out = out.select(*cols)
     if with_kids:
-        kids = (out.where(F.col("parent").isNotNull())
-                   .groupBy(F.col("parent").alias("_pid"))
-                   .agg(F.array_sort(F.collect_list("id")).alias("kids")))
-        out = out.join(kids, out["id"] == kids["_pid"], "left").drop("_pid")
+        # Heap layout: the kids of block position r are positions 2r+1 and 2r+2 of
+        # the same block, when those events exist (event ids are contiguous). A
+        # per-row rule, so no parent's children are ever gathered by a group-by.
+        top = events.select(F.max("event_id")).scalar()
+        r = F.pmod(F.col("id"), F.lit(BLOCK))
+        first, second = F.col("id") + r + 1, F.col("id") + r + 2
+        has_first = (2 * r + 1 < BLOCK) & (first <= top)
+        has_second = (2 * r + 2 < BLOCK) & (second <= top)
+        out = out.withColumn("kids", F.when(has_second, F.array(first, second))
+                                      .when(has_first, F.array(first)))
     return out
 
 
