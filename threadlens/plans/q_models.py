@@ -353,3 +353,61 @@ def tag_all_stories(spark, sf):
     append_tags(tags, store)                      # A11: the tag store
     back = spark.read.parquet(store)
     return back.select("id", F.array_join("tag", "|").alias("tags"), F.size("tag").alias("n_tags"))
+
+
+# ---------------------------------------------------------------- §3.2 supervised category flow
+def _category_sql():
+    toks = S.tokens("clean")
+    grams = ("list_concat(t, list_transform(range(1, greatest(len(t) - 0, 1)), lambda i: t[i] || ' ' || t[i + 1]), "
+             "list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))")
+    return W(S.COMMENT_LINES, f"""kept AS (
+  SELECT id, subreddit, translate(body, chr(10) || ',' || chr(13), '   ') AS clean FROM comment_lines
+  WHERE list_contains({S.ALLOWED}, subreddit) AND body <> '[deleted]'),
+bal AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY {S.hash_key('id')}, id) AS rn FROM kept)
+  WHERE rn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM kept GROUP BY subreddit))),
+part AS (SELECT id, subreddit, CASE WHEN {S.hash_bucket('id')} < 70 THEN 'train' ELSE 'test' END AS part,
+                {toks} AS t FROM bal),
+dt AS (SELECT id, g AS term, count(*) AS tf FROM (SELECT id, unnest({grams}) AS g FROM part) GROUP BY id, g),
+train AS (SELECT dt.*, p.subreddit AS lab FROM dt JOIN part p USING (id) WHERE p.part = 'train'),
+vsize AS (SELECT count(DISTINCT term) AS v FROM train),
+cls AS (SELECT subreddit AS class, count(*) AS nd FROM part WHERE part = 'train' GROUP BY subreddit),
+ntot AS (SELECT sum(nd) AS n FROM cls),
+tok AS (SELECT lab AS class, sum(tf) AS tt FROM train GROUP BY lab),
+cnt AS (SELECT term, lab AS class, sum(tf) AS n FROM train GROUP BY term, lab),
+test_docs AS (SELECT id, subreddit FROM part WHERE part = 'test'),
+test AS (SELECT dt.id, dt.term, dt.tf FROM dt JOIN test_docs USING (id) WHERE dt.term IN (SELECT term FROM train)),
+grid AS (SELECT d.id, d.subreddit, c.class, c.nd FROM test_docs d CROSS JOIN cls c),
+ll AS (SELECT g.id, g.class, sum(t.tf * ln((coalesce(k.n, 0) + 1) / (tk.tt + vsize.v))) AS ll
+       FROM grid g JOIN test t ON t.id = g.id LEFT JOIN cnt k ON k.term = t.term AND k.class = g.class
+       JOIN tok tk ON tk.class = g.class CROSS JOIN vsize GROUP BY g.id, g.class),
+scores AS (SELECT g.id, g.subreddit AS label, g.class,
+                  row_number() OVER (PARTITION BY g.id ORDER BY ln(g.nd / ntot.n) + coalesce(ll.ll, 0) DESC, g.class) AS r
+           FROM grid g CROSS JOIN ntot LEFT JOIN ll ON ll.id = g.id AND ll.class = g.class)""", body="""
+SELECT round(avg(hit), 6) AS top3_accuracy, count(*) AS n FROM (
+  SELECT id, max(CASE WHEN class = label AND r <= 3 THEN 1 ELSE 0 END) AS hit FROM scores GROUP BY id)""")
+
+
+@query("category_top3_accuracy", _category_sql())
+def category_top3_accuracy(spark, sf):
+    """§3.2: comment dump → allow-list (B7) → clean (F6) → smallest-class balanced sample (E4, D5) →
+    70/30 split (D6) → 1-3-gram counts (F7) → Naive Bayes (G2) → top-3 accuracy (E10)."""
+    from threadlens.operators import filters as B
+    from threadlens.operators.sampling import balanced_sample
+    from threadlens.sources.fixtures import ALLOWED_CATEGORIES, comment_lines
+    kept = B.category_filter(comment_lines(spark, sf), ALLOWED_CATEGORIES) \
+        .select("id", "subreddit", T.clean_line("body").alias("clean"))
+    bal = balanced_sample(kept, "subreddit", None, 42, "id")
+    parts = hash_split(bal, 0.7, 42, "id").select("id", "subreddit", "part", T.tokens("clean").alias("t0"))
+    grams = parts.select("id", F.explode(T.ngrams_range("t0", 1, 3)).alias("term"))
+    dt = materialize(grams.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), "category_terms")
+    labels = parts.select("id", "subreddit", "part")
+    train = labels.where(F.col("part") == "train")
+    test = labels.where(F.col("part") == "test")
+    model = G.nb_fit(dt, train, id_col="id", label_col="subreddit")
+    test_terms = dt.join(test.select("id"), "id", "left_semi")
+    empty = test.select("id", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"))
+    scored = G.nb_score(model, test_terms.unionByName(empty), "id")
+    long = G.nb_scores_long(model, scored, "id").join(test.select("id", F.col("subreddit").alias("label")), "id")
+    acc = M.top_n_accuracy(long, 3, "id", "label", "class", "score")
+    return acc.select(F.round("top3_accuracy", 6).alias("top3_accuracy"), "n")
