@@ -188,3 +188,19 @@ def ingest_stream_stateful_q(spark, sf):
     ingest_stream_stateful(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint")
     store = spark.read.schema(ITEM).parquet(f"{base}/store")
     return store.select("id", "type", "parent", F.md5("text").alias("text_md5"))
+
+
+@query("merge_csv_parts", "SELECT doc_id, lang, n_chars FROM documents")
+def merge_csv_parts(spark, sf):
+    """Document rows written as several ISO-8859-1 CSV parts plus a part of malformed lines
+    (non-numeric sizes for the German documents); the merge drops exactly the malformed lines."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    path = scratch_path(spark, "csv_parts")
+    docs = load(spark, sf, "documents")
+    good = docs.select("doc_id", "lang", F.col("n_chars").cast("string").alias("n_chars"))
+    bad = docs.where(F.col("lang") == "de").select("doc_id", "lang", F.lit("n/a").alias("n_chars"))
+    good.repartition(4).write.mode("overwrite").option("encoding", "ISO-8859-1").csv(f"{path}/good")
+    bad.write.mode("overwrite").option("encoding", "ISO-8859-1").csv(f"{path}/bad")
+    schema = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()),
+                         StructField("n_chars", LongType())])
+    return RD.merge_csv_parts(spark, f"{path}/*/*.csv", schema)
