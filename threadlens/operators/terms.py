@@ -12,6 +12,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.functions.text import is_kept, token_runs
 from threadlens.functions.text import tokens as default_tokens
 
 # Largest vocabulary that may be numbered in one window.
@@ -23,7 +24,14 @@ BROADCAST_TERMS = 200_000
 def explode_tokens(df: DataFrame, keys: Sequence[str], text_col: str = "text",
                    tokenizer: Callable[[Column], Column] = default_tokens,
                    with_position: bool = False) -> DataFrame:
-    """Long-form tokens: ``(*keys, term)`` (``pos`` too when asked)."""
+    """Long-form tokens: ``(*keys, term)`` (``pos`` too when asked).
+
+    For the main tokenizer the raw regex matches are exploded and stop words
+    are dropped as rows, which keeps the stage in whole-stage code generation.
+    """
+    if tokenizer is default_tokens and not with_position:
+        return df.select(*keys, F.explode(token_runs(F.col(text_col))).alias("term")) \
+                 .where(is_kept(F.col("term")))
     toks = tokenizer(F.col(text_col))
     if with_position:
         return df.select(*keys, F.posexplode(toks).alias("pos", "term"))
