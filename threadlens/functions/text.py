@@ -62,6 +62,17 @@ def _split_ws(col) -> Column:
     return F.filter(F.split(col, WHITESPACE), lambda t: t != "")
 
 
+def freq_words(col, *, legacy_order: bool = False) -> Column:
+    """F4 before dropping empty strings and stop words (no lambda: stays in generated code
+    except for the entity decoder)."""
+    c = F.coalesce(_c(col), F.lit(""))
+    if legacy_order:
+        cleaned = unescape_html(strip_punctuation(F.lower(c)))
+    else:
+        cleaned = strip_punctuation(F.lower(unescape_html(c)))
+    return F.split(cleaned, WHITESPACE)
+
+
 def tokens_freq(col, *, legacy_order: bool = False, stop_words=STOP_WORDS) -> Column:
     """word-frequency tokenizer: lower, strip punctuation, unescape, split, drop stop words.
 

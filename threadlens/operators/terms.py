@@ -12,7 +12,8 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import is_kept, token_runs
+from threadlens.functions.stopwords import STOP_WORDS
+from threadlens.functions.text import freq_words, is_kept, token_runs, tokens_freq
 from threadlens.functions.text import tokens as default_tokens
 
 # Largest vocabulary that may be numbered in one window.
@@ -32,6 +33,9 @@ def explode_tokens(df: DataFrame, keys: Sequence[str], text_col: str = "text",
     if tokenizer is default_tokens and not with_position:
         return df.select(*keys, F.explode(token_runs(F.col(text_col))).alias("term")) \
                  .where(is_kept(F.col("term")))
+    if tokenizer is tokens_freq and not with_position:
+        return df.select(*keys, F.explode(freq_words(F.col(text_col))).alias("term")) \
+                 .where((F.col("term") != "") & ~F.col("term").isin(list(STOP_WORDS)))
     toks = tokenizer(F.col(text_col))
     if with_position:
         return df.select(*keys, F.posexplode(toks).alias("pos", "term"))
