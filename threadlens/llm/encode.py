@@ -77,7 +77,7 @@ class Encoder:
         else:
             self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|{_OTHER}").findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.piece = _Kept(self._piece, kept // 3)
+        self.piece = _Kept(self._piece, kept)
         self.chunk = _Kept(self._chunk, kept)
         self.spaced = _Kept(lambda chunk: self._chunk(f" {chunk}"), kept)  # a chunk with the blank before it
 

@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.llm import bitplanes, linefreq, packing
+from threadlens.llm import bitplanes, cascade, decontam, linefreq, packing
 from threadlens.llm.common import shared_path
 from threadlens.llm.encode import tokenizer_path
 from threadlens.sources.tables import load
@@ -16,16 +16,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.flag(docs, load(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op4_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = bitplanes.write_ids(load(spark, sf_dir, "documents"), shared_path(spark, "ids"),
                                  tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return bitplanes.read_ids(spark, folder)
 
 
+def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.cascade(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.drop_lines(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_bit_planes, op10_site_line_frequency)}
-ORACLE: dict[str, str] = {"op10_site_line_frequency": linefreq.oracle_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op7_rule_cascade, op10_site_line_frequency)}
+ORACLE: dict[str, str] = {"op7_rule_cascade": cascade.oracle_sql(), "op10_site_line_frequency": linefreq.oracle_sql()}
