@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.llm import bitplanes, cascade, decontam, linefreq, packing
+from threadlens.llm import bitplanes, cascade, decontam, linefreq, packing, probminhash
 from threadlens.llm.common import shared_path
 from threadlens.llm.encode import tokenizer_path
 from threadlens.sources.tables import load
@@ -35,6 +35,10 @@ def op10_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.drop_lines(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op7_rule_cascade, op10_site_line_frequency)}
+    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op6_probminhash, op7_rule_cascade, op10_site_line_frequency)}
 ORACLE: dict[str, str] = {"op7_rule_cascade": cascade.oracle_sql(), "op10_site_line_frequency": linefreq.oracle_sql()}
