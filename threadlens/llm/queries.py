@@ -5,9 +5,10 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadlens.llm import bitplanes, cascade, decontam, linefreq, packing, probminhash
-from threadlens.llm.common import shared_path
+from threadlens.llm import bitplanes, cascade, decontam, langid, linefreq, packing, probminhash
+from threadlens.llm.common import held_out, shared_path
 from threadlens.llm.encode import tokenizer_path
 from threadlens.sources.tables import load
 
@@ -39,6 +40,12 @@ def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", held_out(5, 0))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op6_probminhash, op7_rule_cascade, op10_site_line_frequency)}
+    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op5_language_mixture, op6_probminhash, op7_rule_cascade, op10_site_line_frequency)}
 ORACLE: dict[str, str] = {"op7_rule_cascade": cascade.oracle_sql(), "op10_site_line_frequency": linefreq.oracle_sql()}
