@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bitplanes, cascade, decontam, langid, linefreq, packing, probminhash
+from threadlens.llm import bitplanes, cascade, decontam, langid, linefreq, packing, probminhash, toxicity
 from threadlens.llm.common import held_out, shared_path
 from threadlens.llm.encode import tokenizer_path
 from threadlens.sources.tables import load
@@ -46,6 +46,13 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", held_out(3, 1))
+    model = toxicity.train(docs.where(~F.col("held_out")), load(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op5_language_mixture, op6_probminhash, op7_rule_cascade, op10_site_line_frequency)}
+    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op5_language_mixture, op6_probminhash, op7_rule_cascade, op9_kneser_ney, op10_site_line_frequency)}
 ORACLE: dict[str, str] = {"op7_rule_cascade": cascade.oracle_sql(), "op10_site_line_frequency": linefreq.oracle_sql()}
