@@ -19,6 +19,8 @@ from threadlens.llm.common import spare, stored
 WINDOW = 10
 #: Most characters of item texts in one automaton; a larger benchmark is scanned in several passes.
 BLOCK_CHARS = 4_000_000
+#: Columns that ``flag`` adds.
+ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Bytes of normalised text: a-z, 0-9 and every byte beyond ASCII stay, A-Z become small, others a blank.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -101,8 +103,7 @@ def flag(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     commas (over an empty string if none occurs). ``with_spans`` adds ``spans``, the hit character ranges.
     Items beyond ``block_chars`` are scanned in several passes, so an automaton's size is bounded.
     """
-    own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-    docs = docs.drop(*own)
+    docs = docs.drop(*ADDED, *(["spans"] if with_spans else []))
     words, hits, found, at = spare(docs, "hit_words", "hit_ranges", "hit_items", "hit_spans")
     state = docs.withColumns({words: F.lit(0).cast("long"), hits: F.lit(None).cast("array<int>"),
                               found: F.lit(None).cast("array<string>")})

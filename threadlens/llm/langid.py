@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     ``mixture``, a map of the selected languages' proportions.
     """
     names, table = model
-    docs = docs.drop("lang_pred", "score", "mixture")
+    docs = docs.drop("lang_pred", "score", "mixture")  # the last one is made, and dropped unless it is asked for
     (lettered,) = spare(docs, "lettered")
     state = docs.withColumn(lettered, has_letter(F.col(text).cast("string")))
     spark = docs.sparkSession

@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bitplanes, bytecnn, cascade, decontam, langid, linefreq, packing, probminhash, toxicity
+from threadlens.llm import bitplanes, bytecnn, cascade, ctw, decontam, langid, linefreq, packing, probminhash, toxicity
 from threadlens.llm.common import held_out, shared_path
 from threadlens.llm.encode import tokenizer_path
 from threadlens.sources.tables import load
@@ -60,6 +60,12 @@ def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", held_out(7, 2))
+    model = ctw.train(docs.where(~F.col("held_out")))
+    return ctw.score(docs.select("doc_id", "held_out", "text"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_aho_corasick, op4_bit_planes, op5_language_mixture, op6_probminhash, op7_rule_cascade, op8_byte_cnn, op9_kneser_ney, op10_site_line_frequency)}
+    op1_best_fit_packing, op2_context_tree, op3_aho_corasick, op4_bit_planes, op5_language_mixture, op6_probminhash, op7_rule_cascade, op8_byte_cnn, op9_kneser_ney, op10_site_line_frequency)}
 ORACLE: dict[str, str] = {"op7_rule_cascade": cascade.oracle_sql(), "op10_site_line_frequency": linefreq.oracle_sql()}
