@@ -267,7 +267,7 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], text: str = "text") ->
                 rows = np.concatenate([stream.rows, np.arange(b - a)])
                 place = np.minimum(np.searchsorted(keys, every), max(len(keys) - 1, 0))
                 known = keys[place] == every if len(keys) else np.zeros(len(every), bool)
-                part = np.bincount(rows[known], logs[place[known]], b - a)
+                part = np.bincount(rows[known], logs[place[known]], b - a).astype(float)  # of whole numbers if empty
                 rare = every[~known][np.argsort(rows[~known], kind="stable")]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows[~known], minlength=b - a))])
                 yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,8 @@ WINDOW = 10
 BLOCK_CHARS = 4_000_000
 #: Columns that ``flag`` adds.
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: A word of a text that is not lower-cased yet.
+WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Bytes of normalised text: a-z, 0-9 and every byte beyond ASCII stay, A-Z become small, others a blank.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
