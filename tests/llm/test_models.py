@@ -100,7 +100,8 @@ def test_context_tree_equals_the_definition():
     counts[0, [97, 98, 99]] = [6, 3, 1]
     counts[1, [97, 98]] = [4, 1]   # after one byte
     counts[2, [98]] = [2]          # after another
-    table = ctw.weigh(counts, np.array([0, 1, 1]), np.array([-1, 0, 0]))
+    table = ctw.weigh(counts, np.array([0, 1, 1]), np.array([-1, 0, 0]), np.arange(256))
+    assert np.allclose(table, ctw.weigh(counts[:, 97:100], np.array([0, 1, 1]), np.array([-1, 0, 0]), np.arange(97, 100)))
     other = counts[0] - counts[1] - counts[2]
     leaf = lambda c: (list(c), [], True)
     one = lambda c: (list(c), [leaf(c)], False)  # noqa: E731  all that follows such a context is one more leaf

@@ -124,8 +124,8 @@ def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def weigh(counts: np.ndarray, depth: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """log10 probabilities (contexts x 256) from counts of the next byte (contexts x 256).
+def weigh(counts: np.ndarray, depth: np.ndarray, parent: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """log10 probabilities (contexts x 256) from counts of the next byte (contexts x ``used``, ascending byte values).
 
     Contexts are ordered by depth; ``parent`` is the place of the context one byte shorter (-1 for the root).
     A row holds for the texts whose longest context in the tree is that one.
@@ -133,6 +133,11 @@ def weigh(counts: np.ndarray, depth: np.ndarray, parent: np.ndarray) -> np.ndarr
     size, deepest = len(counts), int(depth.max())
     other = counts.copy()  # what follows the context after a byte that the tree does not have
     np.subtract.at(other, parent[1:], counts[1:])
+    sums = []
+    for c in (counts, other):
+        sums.append(np.zeros((size, len(used) + 1)))
+        np.cumsum(c, axis=1, out=sums[-1][:, 1:])
+    del other
     open_ = depth < DEPTH
     levels = [np.arange(*np.searchsorted(depth, (d, d + 1))) for d in range(deepest + 1)]
     out = np.zeros((size, 256), np.float32)
@@ -140,21 +145,20 @@ def weigh(counts: np.ndarray, depth: np.ndarray, parent: np.ndarray) -> np.ndarr
         width = 1 << bit
         for lo in range(0, width, 16):  # columns of 16 nodes at a time
             hi = min(width, lo + 16)
-            # bytes below node k of this level: k * 256 / width up to the next node's; half of them have bit 0
-            def zeros_ones(c):
-                part = c.reshape(size, width, 2, 128 // width)[:, lo:hi].sum(axis=3, dtype=np.float64)
-                return part[:, :, 0], part[:, :, 1]
-            n0, n1 = zeros_ones(counts)
-            o0, o1 = zeros_ones(other)
+            # a node stands for 256 / width byte values; the lower half of them has bit 0
+            edge = np.searchsorted(used, np.arange(2 * lo, 2 * hi + 1) * (128 // width))
+            below, mid, above = edge[:-2:2], edge[1:-1:2], edge[2::2]
+            n0, n1 = sums[0][:, mid] - sums[0][:, below], sums[0][:, above] - sums[0][:, mid]
+            o0, o1 = sums[1][:, mid] - sums[1][:, below], sums[1][:, above] - sums[1][:, mid]
             own, rest = _log_kt(n0, n1), np.where(open_[:, None], _log_kt(o0, o1), 0.0)
             weighted = own.copy()
-            below = rest  # logarithm of the product of the nodes one byte deeper
+            deeper = rest  # logarithm of the product of the nodes one byte deeper
             for d in range(deepest, -1, -1):
                 at = levels[d]
                 if d < DEPTH:
-                    weighted[at] = np.logaddexp(own[at], below[at]) - math.log(2)
+                    weighted[at] = np.logaddexp(own[at], deeper[at]) - math.log(2)
                 if d:
-                    np.add.at(below, parent[at], weighted[at])
+                    np.add.at(deeper, parent[at], weighted[at])
             stop = np.where(open_[:, None], np.exp(own - math.log(2) - weighted), 1.0)
             ones = (n1 + 0.5) / (n0 + n1 + 1)
             done, left = np.zeros_like(own), np.ones_like(own)
@@ -224,13 +228,15 @@ def grow(grams: DataFrame, nodes: int = NODES) -> Tree:
     if not len(got):
         got = got.reindex([0]).fillna(0)
     pairs = np.unique((got["depth"].to_numpy(np.int64) << 56) | got["context"].to_numpy(np.int64))
-    counts = np.zeros((len(pairs), 256), np.float64)
+    used = np.unique(got["byte"].to_numpy(int))
+    counts = np.zeros((len(pairs), len(used)))
     place = np.searchsorted(pairs, (got["depth"].to_numpy(np.int64) << 56) | got["context"].to_numpy(np.int64))
-    counts[place, got["byte"].to_numpy(int)] = got["n"]
+    counts[place, np.searchsorted(used, got["byte"].to_numpy(int))] = got["n"]
+    del got, place
     depth = (pairs >> 56).astype(int)
     shorter = np.where(depth > 0, ((depth - 1) << 56) | (pairs & ((1 << 8 * np.maximum(depth - 1, 0)) - 1)), 0)
     parent = np.where(depth > 0, np.searchsorted(pairs, shorter), -1)
-    return Tree(pairs, weigh(counts, depth, parent))
+    return Tree(pairs, weigh(counts, depth, parent, used))
 
 
 def train(texts: DataFrame, text: str = "text", nodes: int = NODES) -> tuple[Tree, DataFrame]:
