@@ -6,9 +6,9 @@ its first arrival; two documents agree in a register with the probability Jaccar
 shingle stops once its next arrival comes after the latest first arrival of any register.
 
 Texts with the same words are copies and form one node. Nodes that share a band of registers are candidates. In
-each bucket all nodes are compared with one hub, not with each other. Jaccard distance is a metric, so a node with a
+each bucket of more than a few nodes all are compared with one hub, not with each other. Jaccard distance is a metric, so a node with a
 similarity under 0.6 to the hub has no partner of 0.8 among the nodes that have 0.8 to the hub; nodes between
-0.6 and 0.8 are compared with those, if still in another class, and the nodes that the hub did not take go on with the next hub. So no
+0.6 and 0.8 are compared with those, unless a common neighbour joins them already, and the nodes that the hub did not take go on with the next hub. So no
 link between candidates is lost.
 """
 
@@ -29,6 +29,8 @@ from threadlens.llm.graph import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: Nodes of a bucket that are compared with each other at once; more have hubs.
+FEW = 4
 #: Hubs tried in a bucket before its remaining nodes are compared with each other.
 HUB_ROUNDS = 4
 _U = np.uint64
@@ -169,46 +171,44 @@ def _links(docs: DataFrame, sketched: DataFrame, similarity: float, shingle: int
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(sizes, "bucket"), "shared")
     # the node that meets the most others is the best hub
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    left = stored(shared.select("bucket", "node").join(degree, "node"), "left")
+    degree = stored(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    left = stored(shared.select("bucket", "n", "node").join(degree, "node"), "left")
     wanted = shared.select("doc_id").distinct()
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = stored(shingle_sets(texts, shingle).dropDuplicates(["node"]), "sets")
-    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    far = 2 * similarity - 1
     known = None  # similarities found so far
     for k in range(HUB_ROUNDS + 1):
-        if left.isEmpty():
-            break
-        last = k == HUB_ROUNDS
-        hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("b"))
-        star = left.join(hubs, "bucket").select("bucket", F.col("node").alias("a"), "b").where("a != b")
-        if last:  # the exact way for what many hubs did not take: every pair of the remaining nodes
-            star = left.select("bucket", F.col("node").alias("a")).join(
-                left.select("bucket", F.col("node").alias("b")), "bucket").where("a < b")
-        star = stored(star, "star")
+        most = FEW if k < HUB_ROUNDS else 1 << 62  # after many hubs the exact way for the rest: every pair
+        few, many = left.where(F.col("n") <= most), left.where(F.col("n") > most)
+        hubs = many.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("b"))
+        star = many.join(hubs, "bucket").select("bucket", F.col("node").alias("a"), "b", F.lit(True).alias("hub")).where("a != b")
+        each = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket") \
+                  .where("a < b").withColumn("hub", F.lit(False))
+        star = stored(star.unionByName(each), "star")
         pairs = star.select("a", "b").distinct()
-        seen = _similar(pairs, sets) if known is None else known.unionByName(
-            _similar(pairs.join(known, ["a", "b"], "left_anti"), sets))
-        known = stored(seen, "known")
-        links = known.where(F.col("similarity") >= similarity).select("a", "b")
-        if last:
+        known = stored(_similar(pairs, sets) if known is None else known.unionByName(
+            _similar(pairs.join(known, ["a", "b"], "left_anti"), sets)), "known")
+        judged = stored(star.where("hub").join(known, ["a", "b"]), "judged")
+        if judged.isEmpty():
             break
-        judged = stored(star.join(known, ["a", "b"]), "judged")
-        near = judged.where(F.col("similarity") >= similarity).select("bucket", "b", F.col("a").alias("x"))
-        edge = judged.where((F.col("similarity") < similarity) & (F.col("similarity") >= far)).select("bucket", "b", F.col("a").alias("y"))
-        if not edge.isEmpty():
-            labels = components(links)
-            of = lambda c: labels.withColumnsRenamed({"node": c, "label": f"of_{c}"})
-            more = (edge.join(near, ["bucket", "b"]).join(of("x"), "x", "left").join(of("y"), "y", "left")
-                    .where("of_y IS NULL OR of_x != of_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        # nodes between the two similarities meet those that the hub took, unless they share a neighbour with the hub
+        near = known.where(F.col("similarity") >= similarity)
+        sides = near.select("a", "b").union(near.select("b", "a")).union(near.select("a", "a")).union(near.select("b", "b"))
+        label = sides.toDF("node", "next").join(degree.withColumnRenamed("node", "next"), "next") \
+                     .groupBy("node").agg(F.max(F.struct("degree", "next"))["next"].alias("label"))
+        of = lambda c: label.withColumnsRenamed({"node": c, "label": f"of_{c}"})
+        edge = judged.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1)) \
+                     .select("bucket", "b", F.col("a").alias("y"))
+        edge = edge.join(of("y"), "y", "left").join(of("b"), "b", "left").where("of_y IS NULL OR of_b IS NULL OR of_y != of_b")
+        taken = judged.where(F.col("similarity") >= similarity).select("bucket", "b", F.col("a").alias("x"))
+        more = stored(edge.join(taken, ["bucket", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "more")
+        if not more.isEmpty():
             known = stored(known.unionByName(_similar(more.join(known, ["a", "b"], "left_anti"), sets)), "known")
-            links = known.where(F.col("similarity") >= similarity).select("a", "b")
         # nodes that no hub took go on, without the hub
         rest = judged.where(F.col("similarity") < similarity).select("bucket", F.col("a").alias("node"))
         rest = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-        left = stored(rest.join(degree, "node").select("bucket", "node", "degree"), "left")
-    return links
+        left = stored(rest.join(degree, "node").select("bucket", "n", "node", "degree"), "left")
+    return known.where(F.col("similarity") >= similarity).select("a", "b")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
