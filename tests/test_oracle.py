@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from threadlens.plans import catalog
 from tests.oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -15,17 +16,28 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_matches_duckdb(spark, con, name):
-    ok, msg = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
+    ok, msg = compare(spark, con, name, catalog.QUERIES[name], catalog.ORACLE[name], SF)
     assert ok, msg
 
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and df.columns == ["root_id", "word", "freq", "rank"]
+    rows = df.collect()
+    assert df.columns == ["root_id", "word", "freq", "rank"]
+    assert rows and all(1 <= r["rank"] <= 20 and r["freq"] >= 1 and r["word"] for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE) - SLOW))
 def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, SF).count() >= 0
+    rows = catalog.QUERIES[name](spark, SF).toPandas()
+    assert len(rows) and rows.notna().all().all()
+
+
+def test_linear_classifier(spark):
+    """Probabilities belong to the best class, and the best three hold the label at least as often as the best one."""
+    rows = catalog.QUERIES["linear_ml"](spark, SF).toPandas()
+    assert rows["probability"].between(0.25, 1).all()
+    first = (rows["label"] == rows["prediction"])
+    assert rows["in_top3"].mean() >= first.mean() > 0.9 and (rows["in_top3"] >= first).all()

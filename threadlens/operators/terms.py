@@ -15,12 +15,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.stopwords import STOP_WORDS
 from threadlens.functions.text import freq_words, is_kept, token_runs, tokens_freq
 from threadlens.functions.text import tokens as default_tokens
-
-# Largest vocabulary that may be numbered in one window.
-MAX_VOCABULARY = 2_000_000
-# Largest vocabulary that is broadcast to every task (about 200,000 short strings).
-BROADCAST_TERMS = 200_000
-
+from threadlens.session import materialize
 
 def explode_tokens(df: DataFrame, keys: Sequence[str], text_col: str = "text",
                    tokenizer: Callable[[Column], Column] = default_tokens,
@@ -103,9 +98,8 @@ def vocabulary(doc_terms: DataFrame, *, id_col: str = "id", no_below: int = 1,
 
     ``no_below``: min document count; ``no_above``: max document share;
     ``drop_top_n``: remove the n terms with the highest df (after the share cut);
-    ``min_count``: min collection count; ``max_features``: keep the best n by df.
-    The kept vocabulary must be at most ``MAX_VOCABULARY`` terms (its numbering
-    window and broadcast depend on that bound).
+    ``min_count``: min collection count; ``max_features``: keep the best n by df
+    (all terms, however many, without it).
     """
     if n_docs is None:
         n_docs = doc_terms.select(F.countDistinct(id_col)).scalar()
@@ -116,25 +110,30 @@ def vocabulary(doc_terms: DataFrame, *, id_col: str = "id", no_below: int = 1,
     if drop_top_n:
         top = v.orderBy(*order).limit(drop_top_n).select(F.col("term").alias("_t"))
         v = v.join(F.broadcast(top), v["term"] == top["_t"], "left_anti")
-    cap = min(max_features or MAX_VOCABULARY, MAX_VOCABULARY)
-    v = v.orderBy(*order).limit(cap)
-    w = Window.orderBy(*order)
-    return v.withColumn("term_id", (F.row_number().over(w) - 1).cast("int")) \
-            .select("term", "term_id", "df", "cf")
+    if max_features:
+        v = v.orderBy(*order).limit(max_features)
+    return numbered(v, order, "term_id").withColumn("term_id", F.col("term_id").cast("int")) \
+        .select("term", "term_id", "df", "cf")
 
 
-def bag_of_words(doc_terms: DataFrame, vocab: DataFrame, id_col: str = "id",
-                 vocab_bound: int | None = None) -> DataFrame:
-    """``(id, term_id, tf)``; terms outside the vocabulary are dropped.
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: the row's place (from 0) in ``order``, without one task that holds all rows.
 
-    When the vocabulary's size is bounded by ``vocab_bound`` (its ``max_features``)
-    and that bound is at most ``BROADCAST_TERMS``, it is broadcast and the token
-    side is not shuffled for this join; otherwise AQE picks the strategy from
-    the measured size.
+    Rows are sorted by range and stored with their partition; a row's place is its place in the partition
+    after the sizes of the partitions before it (one row per partition).
     """
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_at", inside).join(sizes, "_part") \
+                .withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+
+
+def bag_of_words(doc_terms: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataFrame:
+    """``(id, term_id, tf)``; terms outside the vocabulary are dropped (AQE picks the join by measured size)."""
     v = vocab.select(F.col("term").alias("_vt"), "term_id")
-    if vocab_bound is not None and vocab_bound <= BROADCAST_TERMS:
-        v = F.broadcast(v)
     return doc_terms.join(v, doc_terms["term"] == v["_vt"], "inner").select(id_col, "term_id", "tf")
 
 

@@ -178,21 +178,28 @@ def thread_text(items: DataFrame, weight: str = "once", live_mode: str = "falsy"
 
 
 def descendant_counts(items: DataFrame) -> DataFrame:
-    """For each node, the number of nodes below it (unpruned tree).
+    """``(id, root_id, depth, descendants)``, the number of nodes below each node (unpruned tree).
 
-    Every node's path lists its ancestors; exploding the path and counting per
-    ancestor is one partially-aggregated shuffle (a hot ancestor is combined
-    map-side), instead of a recursive sum.
+    Counts are summed by pointer doubling: after round k a node has the nodes less than 2^k levels below it, and adds the
+    counts of those that lie exactly 2^k levels below. Each round is one grouped sum (a hot node is combined
+    map-side) and joins over rows of fixed width, so neither a chain nor a star costs more. A cycle, also one
+    that no root reaches, raises :class:`ThreadCycleError`.
     """
-    nodes = items.select("id", "parent", "type")
-    tree = assemble_threads(nodes, roots=roots_of(nodes), prune=False)
-    anc = tree.where(F.col("depth") > 0).select(
-        F.explode(F.slice(F.col("path"), 1, F.col("depth"))).alias("ancestor"))
-    counts = anc.groupBy("ancestor").agg(F.count(F.lit(1)).alias("descendants"))
-    return (tree.select("id", "root_id", "depth")
-                .join(counts, F.col("id") == counts["ancestor"], "left")
-                .select("id", "root_id", "depth",
-                        F.coalesce(F.col("descendants"), F.lit(0)).alias("descendants")))
+    flat = items.select("id", "parent", F.lit(None).cast("string").alias("type"),
+                        F.lit(None).cast("boolean").alias("deleted"), F.lit(None).cast("boolean").alias("dead"))
+    tree = materialize(thread_roots(flat, prune=False, story_roots=False), "tree")
+    levels = tree.agg(F.max("depth")).first()[0] or 0
+    state = tree.select("id", F.when(F.col("depth") > 0, F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("n"))
+    reach = 1
+    while reach <= levels:
+        below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("_id")).agg(F.sum("n").alias("_n"))
+        hop = state.select(F.col("id").alias("_hid"), F.col("up").alias("_up"))
+        state = materialize(
+            state.join(below, state["id"] == below["_id"], "left").join(hop, state["up"] == hop["_hid"], "left")
+                 .select("id", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), "counts")
+        reach *= 2
+    counts = state.select(F.col("id").alias("_id"), (F.col("n") - 1).alias("descendants"))
+    return tree.join(counts, tree["id"] == counts["_id"]).select("id", "root_id", "depth", "descendants")
 
 
 def top_comments(items: DataFrame, n: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ Each query writes data derived from the driver tables into a fresh folder under
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from threadlens.functions import text as T
 from threadlens.operators import filters as B
@@ -164,17 +165,13 @@ def process_new_stories_q(spark, sf):
 SELECT root_id AS id, count(DISTINCT term) AS n_words, count(*) AS n_tokens FROM story_terms GROUP BY root_id""",
                           recursive=True))
 def term_freq_csv(spark, sf):
-    """§3.3 job: stories processed in id-range slices, each slice's (Word, Freq, Id) rows appended to one CSV."""
+    """§3.3 job: the (Word, Freq, Id) rows of all stories with comments appended to one CSV."""
     path = scratch_path(spark, "term_freq")
     its = items(spark, sf, with_descendants=True)
     stories = B.min_descendants(its.where(F.col("type") == "story"), 0)
-    top = stories.agg(F.max("id")).first()[0] or 0          # one scalar: the id space
-    step = top // 2 + 1
-    for lo in range(0, top + 1, step):
-        part = B.id_range(stories, lo, lo + step, "[)")
-        rows = C.comment_corpus(its, part)
-        wf = E.word_freq(rows, ["root_id"], tokenizer=T.tokens_freq).withColumnRenamed("root_id", "id")
-        SK.append_term_freq(wf, path, "csv")
+    rows = C.comment_corpus(its, stories)
+    wf = E.word_freq(rows, ["root_id"], tokenizer=T.tokens_freq).withColumnRenamed("root_id", "id")
+    SK.append_term_freq(wf, path, "csv")
     back = spark.read.schema("Word string, Freq bigint, Id bigint").csv(path)
     return back.groupBy(F.col("Id").alias("id")).agg(F.count(F.lit(1)).alias("n_words"),
                                                      F.sum("Freq").cast("bigint").alias("n_tokens"))
@@ -190,17 +187,42 @@ def ingest_stream_stateful_q(spark, sf):
     return store.select("id", "type", "parent", F.md5("text").alias("text_md5"))
 
 
+T_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()),
+                       StructField("n_chars", LongType())])
+
+
 @query("merge_csv_parts", "SELECT doc_id, lang, n_chars FROM documents")
 def merge_csv_parts(spark, sf):
     """Document rows written as several ISO-8859-1 CSV parts plus a part of malformed lines
     (non-numeric sizes for the German documents); the merge drops exactly the malformed lines."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
     path = scratch_path(spark, "csv_parts")
     docs = load(spark, sf, "documents")
     good = docs.select("doc_id", "lang", F.col("n_chars").cast("string").alias("n_chars"))
     bad = docs.where(F.col("lang") == "de").select("doc_id", "lang", F.lit("n/a").alias("n_chars"))
     good.repartition(4).write.mode("overwrite").option("encoding", "ISO-8859-1").csv(f"{path}/good")
     bad.write.mode("overwrite").option("encoding", "ISO-8859-1").csv(f"{path}/bad")
-    schema = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()),
-                         StructField("n_chars", LongType())])
-    return RD.merge_csv_parts(spark, f"{path}/*/*.csv", schema)
+    return RD.merge_csv_parts(spark, f"{path}/*/*.csv", T_SCHEMA)
+
+
+@query("merge_csv_counts", """
+SELECT 'good' AS kind, count(*) AS n FROM documents
+UNION ALL SELECT 'rejects' AS kind, count(*) AS n FROM documents WHERE lang = 'de'
+UNION ALL SELECT 'ids' AS kind, count(*) AS n FROM documents
+UNION ALL SELECT 'store' AS kind, count(DISTINCT doc_id) AS n FROM documents""")
+def merge_csv_counts(spark, sf):
+    """Counts of good and rejected lines, of a one-column read, and of a store that took the parts twice."""
+    path = scratch_path(spark, "csv_parts")
+    docs = load(spark, sf, "documents")
+    good = docs.select("doc_id", "lang", F.col("n_chars").cast("string").alias("n_chars"))
+    bad = docs.where(F.col("lang") == "de").select("doc_id", "lang", F.lit("n/a").alias("n_chars"))
+    good.unionByName(bad).write.option("encoding", "ISO-8859-1").csv(path)
+    ok, rejects = RD.read_csv_with_rejects(spark, path, T_SCHEMA)
+    store = scratch_path(spark, "store")
+    for _ in range(2):
+        RD.append_new(ok, store, "doc_id")
+    parts = {"good": ok, "rejects": rejects, "ids": ok.select("doc_id"), "store": spark.read.parquet(store)}
+    counts = [d.select(F.lit(k).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")) for k, d in parts.items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out

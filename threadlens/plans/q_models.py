@@ -201,10 +201,16 @@ def nb_ml(spark, sf):
 
 @query("linear_ml")
 def linear_ml(spark, sf):
+    """G3 + E10: tf-idf of 1-3-grams → logistic regression, the label's rank and probability among the classes."""
     parts = _labelled_tokens(spark, sf, ngram_hi=3)
     model = G.ml_linear("lang").fit(parts.where(F.col("part") == "train"))
-    pred = G.label_names(model, model.transform(parts.where(F.col("part") == "test")))
-    return pred.select("doc_id", F.col("lang").alias("label"), F.col("predicted_label").alias("prediction"))
+    scored = model.transform(parts.where(F.col("part") == "test"))
+    long = materialize(G.class_scores(model, scored, "doc_id", "lang"), "class_scores")
+    ranked = top_k_per_group(long, ["id"], [F.col("score").desc(), F.col("class")], 3)
+    return ranked.groupBy("id").agg(
+        F.first("label").alias("label"), F.max_by("class", "score").alias("prediction"),
+        F.max("score").alias("probability"), F.max((F.col("class") == F.col("label")).cast("int")).alias("in_top3")) \
+        .withColumnRenamed("id", "doc_id")
 
 
 @query("forest_ml")
@@ -233,25 +239,14 @@ def _sentences(spark, sf):
     its = items(spark, sf)
     rows = C.thread_text(its, "once").select("id", T.tokens("text").alias("tokens"))
     titles = B.stories(B.live(its)).select(F.col("id"), T.tokens("title").alias("tokens"))
-    return rows.unionByName(titles).select(F.monotonically_increasing_id().alias("sid"), "tokens")
-
-
-_FITTED: dict = {}
-
-
-def _fitted(key, build):
-    """Fit a model once per (kind, data folder) in this process; several queries read it."""
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
+    both = rows.select(F.lit("text").alias("kind"), "id", "tokens") \
+               .unionByName(titles.select(F.lit("title").alias("kind"), "id", "tokens"))
+    return materialize(both, "sentences")
 
 
 def _w2v(spark, sf):
-    def build():
-        sents = WV.subsample(_sentences(spark, sf), "sid", "tokens", sample=1e-3)
-        model = WV.word2vec_fit(sents, "tokens", partitions=spark.sparkContext.defaultParallelism)
-        return materialize(WV.word_vectors(model))
-    return _fitted(("w2v", sf, spark.sparkContext.applicationId), build)
+    sents = WV.subsample(_sentences(spark, sf), ["kind", "id"], "tokens", sample=1e-3)
+    return materialize(WV.word_vectors(WV.word2vec_fit(sents, "tokens")))
 
 
 @query("word2vec_vectors")
@@ -294,8 +289,8 @@ def cluster_terms(spark, sf):
     its, leaves = _leaf_docs(spark, sf)
     toks = leaves.select("root_id", T.tokens_alpha("text").alias("t0")) \
                  .select("root_id", T.ngrams_range("t0", 1, 3).alias("t"))
-    dt = toks.select("root_id", F.explode("t").alias("term")).groupBy("root_id", "term") \
-             .agg(F.count(F.lit(1)).alias("tf"))
+    dt = materialize(toks.select("root_id", F.explode("t").alias("term")).groupBy("root_id", "term")
+                     .agg(F.count(F.lit(1)).alias("tf")), "grams")   # read for N, df and the weights
     w = materialize(FT.tfidf(dt, "root_id", min_df=0.1, max_df=0.9, max_features=200_000))
     # the kept terms are at most max_features (bounded), so one numbering window is fine
     vocab = materialize(w.select("term").distinct().withColumn(
@@ -307,44 +302,27 @@ def cluster_terms(spark, sf):
     return K.centroid_terms(spark, model, vocab, 8)
 
 
-def _lda_corpus(spark, sf, roots=None):
+def _lda_model(spark, sf):
+    """``(vectors, vocabulary, model)`` of every live titled story's thread; the corpus is assembled once."""
     from threadlens.plans.jobs import story_terms
     from threadlens.sources.fixtures import items
-    its = items(spark, sf)
-    return its, story_terms(its, roots=roots).withColumnRenamed("root_id", "id")
-
-
-def _lda_model(spark, sf):
-    return _fitted(("lda", sf, spark.sparkContext.applicationId), lambda: _lda_build(spark, sf))
-
-
-def _lda_build(spark, sf):
-    from threadlens.operators import filters as B
-    from threadlens.operators.sampling import sample_n
-    its, _ = _lda_corpus(spark, sf)
-    train_roots = sample_n(B.stories(B.live(its)), 500_000, 42)
-    _, st = _lda_corpus(spark, sf, roots=train_roots)
-    st = materialize(st)
-    vocab = materialize(E.vocabulary(st, no_below=1, no_above=0.8, drop_top_n=30))
-    v = vocab.count()
-    vecs = TP.bow_vectors(E.bag_of_words(st, vocab), v)
-    model = TP.lda_fit(vecs, k=25, passes=100, chunk=7000)
-    return its, vocab, v, model
+    st = materialize(story_terms(items(spark, sf)).withColumnRenamed("root_id", "id"), "story_terms")
+    vocab = materialize(E.vocabulary(st, no_below=1, no_above=0.8, drop_top_n=30), "vocabulary")
+    vecs = TP.bow_vectors(E.bag_of_words(st, vocab), vocab.count())
+    return vecs, vocab, TP.lda_fit(vecs, k=25, passes=100, chunk=7000)
 
 
 @query("lda_topics")
 def lda_topics(spark, sf):
     """25 topics, 20 words each."""
-    _, vocab, _, model = _lda_model(spark, sf)
+    _, vocab, model = _lda_model(spark, sf)
     return TP.describe_topics(model, vocab, 20)
 
 
 @query("tag_all_stories")
 def tag_all_stories(spark, sf):
     """G10 + G11: every live titled story → thread tokens → bag of words → 3 best topics → labels."""
-    its, vocab, v, model = _lda_model(spark, sf)
-    _, st = _lda_corpus(spark, sf)
-    vecs = TP.bow_vectors(E.bag_of_words(st, vocab), v)
+    vecs, _, model = _lda_model(spark, sf)
     best = TP.best_topics(model, vecs, "id", 3, 0.01)
     tags = TP.tag_documents(best, TP.topic_labels(spark), "id")
     from threadlens.session import scratch_path

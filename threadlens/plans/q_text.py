@@ -239,7 +239,7 @@ def vocabulary(spark, sf):
 SELECT dt.doc_id, v.term_id, CAST(dt.tf AS BIGINT) AS tf FROM dt JOIN vocab v ON v.term = dt.term"""))
 def bag_of_words(spark, sf):
     dt = _doc_terms(spark, sf)
-    return E.bag_of_words(dt, _vocab(spark, sf, dt), "doc_id", vocab_bound=2000)
+    return E.bag_of_words(dt, _vocab(spark, sf, dt), "doc_id")
 
 
 @query("token_totals", W(_DT, body="SELECT CAST(sum(tf) AS BIGINT) AS n_tokens, count(DISTINCT term) AS n_terms FROM dt"))
@@ -342,9 +342,9 @@ SELECT stem, arg_min(term, doc_id * 1000000 + pos) AS word FROM (
 def stem_to_word(spark, sf):
     """Each stem with the first surface word that produced it (document, position order)."""
     toks = E.explode_tokens(_docs(spark, sf), ["doc_id"], with_position=True)
-    stems = stem_vocabulary(toks)
-    joined = toks.join(stems, "term")
-    return joined.groupBy("stem").agg(F.min_by("term", F.struct("doc_id", "pos")).alias("word"))
+    first = toks.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))   # one row per distinct term
+    stems = stem_vocabulary(first)
+    return first.join(stems, "term").groupBy("stem").agg(F.min_by("term", "at").alias("word"))
 
 
 @query("title_tokens", W(IT, _LIVE_STORIES, body=f"""
