@@ -7,7 +7,7 @@ from threadlens.plans import catalog
 from tests.oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"lda_topics", "tag_all_stories", "word2vec_vectors", "word_synonyms", "kmeans_words",
+SLOW = {"lda_topics", "tag_all_stories", "word2vec_vectors", "word_synonyms", "word_similarity", "kmeans_words",
         "linear_ml", "cluster_terms"}
 
 

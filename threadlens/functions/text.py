@@ -3,8 +3,9 @@
 Token profile (main tokenizer, F1): lower-case, take maximal runs of Unicode
 letters/digits, drop runs that contain an ASCII digit, keep lengths 2..24, drop
 stop words and the markup blacklist. Every function here compiles to JVM
-expressions (``regexp_extract_all``, ``filter``, ``transform``), so it stays
-inside whole-stage code generation; no Python runs per row.
+expressions (``regexp_extract_all``, ``filter``, ``transform``); no Python runs per row.
+Those with lambdas run without generated code, so counting plans explode
+:func:`token_runs` instead.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-DROP_WORDS = sorted(set(STOP_WORDS) | set(BLACKLIST))
 
 
 def token_runs(col, min_len: int = 2, max_len: int = 24) -> Column:

@@ -76,7 +76,7 @@ def idf(doc_terms: DataFrame, id_col: str = "id", digits: int = 4, n_docs=None)
     N is the number of input documents (pass ``n_docs``, e.g. :func:`n_documents`);
     by default the documents that have a token. It is a scalar subquery inside
     the same plan. (As in the reference, term frequency is not multiplied in;
-    see :func:`tf_idf` for that.)
+    see :func:`features.tfidf` for that.)
     """
     if n_docs is None:
         n_docs = doc_terms.select(F.countDistinct(id_col)).scalar()
@@ -84,13 +84,6 @@ def idf(doc_terms: DataFrame, id_col: str = "id", digits: int = 4, n_docs=None)
     return dfs.select("term", "df", F.round(F.ln(n_docs / F.col("df")), digits).alias("idf"))
 
 
-def tf_idf(doc_terms: DataFrame, id_col: str = "id", digits: int = 4) -> DataFrame:
-    """``(id, term, tf, weight)`` with ``weight = tf * ln(N / df)``."""
-    weights = idf(doc_terms, id_col, digits=15).select("term", "idf")
-    return doc_terms.join(weights, "term").select(
-        id_col, "term", "tf", F.round(F.col("tf") * F.col("idf"), digits).alias("weight"))
-
-
 def vocabulary(doc_terms: DataFrame, *, id_col: str = "id", no_below: int = 1,
                no_above: float = 1.0, drop_top_n: int = 0, min_count: int = 1,
                max_features: int | None = None, n_docs=None) -> DataFrame:

@@ -265,6 +265,19 @@ def word_synonyms(spark, sf):
     return WV.most_similar(vecs, probe["term"], 10).withColumn("probe", F.lit(probe["term"]))
 
 
+@query("word_similarity")
+def word_similarity(spark, sf):
+    """G6 + A14: the fitted vectors saved, loaded back, and the similarity of the two most frequent words looked up."""
+    from threadlens.session import scratch_path
+    path = scratch_path(spark, "word_vectors")
+    _w2v(spark, sf).write.parquet(path)
+    vecs = spark.read.parquet(path)
+    dt = E.term_frequencies(_docs(spark, sf), ["doc_id"])
+    two = E.doc_freq(dt).join(vecs.select(F.col("word").alias("term")), "term") \
+        .orderBy(F.col("df").desc(), F.col("term")).limit(2).collect()
+    return WV.similarity(vecs, two[0]["term"], two[1]["term"])
+
+
 @query("kmeans_words")
 def kmeans_words(spark, sf):
     """G7 + E12: 25 clusters of word vectors; members of every cluster (summarised)."""

@@ -6,7 +6,7 @@ tree, laid out as a binary heap (position ``r`` in the block has parent position
 carries the whole text of one document (``event_id mod n_documents``) and each story
 the whole text of one ``benchmark`` passage as its title, so text volume grows with
 both tables. The same view is written in SQL for the DuckDB oracle
-(``threadlens.plans.oracle.ITEMS_SQL``).
+(``threadlens.plans.sqlparts.items_cte``).
 """
 
 from __future__ import annotations
@@ -97,10 +97,6 @@ def items(spark: SparkSession, sf_dir: str, *, presence: bool = False, with_text
     return out
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents")
-
-
 # Fixed fixture constants for the category pipeline: 16 allowed categories,
 # and documents whose id is a multiple of 37 stand for '[deleted]' bodies.
 ALLOWED_CATEGORIES = [f"src{i}" for i in range(16)]
