@@ -21,8 +21,8 @@ _NUMBERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[
 _OTHER = rf"[^\s{_LETTERS}{_NUMBERS}]+"
 #: Characters for which the library is asked with the whole text: controls, separators and beyond the plain range.
 _UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0İŉƀ-‏ - ‿-₫₭-\U0010ffff]")
-#: White space of byte-level texts that is not a single blank or a single line end between other characters.
-_IRREGULAR = re.compile(r"\s\s|[\t\r\x0b\x0c]|\A\s|\s\Z")
+#: White space of byte-level texts other than a single blank or a single line end between other characters.
+_IRREGULAR = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,6 +32,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+#: The stand-in of a blank, marks that are a piece of their own after letters, and packers of short id lists.
+_BLANK, _MARKS = _byte_letters()[32], tuple(",.;:!?")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 class _Kept(dict):
     """A mapping filled by ``make``; when ``most`` entries are reached, the older half of its history goes."""
 
@@ -79,16 +84,32 @@ class Encoder:
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.piece = _Kept(self._piece, kept)
         self.chunk = _Kept(self._chunk, kept)
-        self.spaced = _Kept(lambda chunk: self._chunk(f" {chunk}"), kept)  # a chunk with the blank before it
+        self.spaced = _Kept(self._spaced, kept)  # a chunk with the blank before it
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isalpha() and piece.isascii():
+            shown = piece  # such letters stand for themselves
+        elif piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            shown = _BLANK + piece[1:]
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._piece(chunk)
+        if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+            return self.chunk[chunk[:-1]] + self.piece[chunk[-1]]
         return b"".join(map(self.piece.__getitem__, self.pieces(chunk)))
 
+    def _spaced(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._piece(f" {chunk}")
+        if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+            return self.spaced[chunk[:-1]] + self.piece[chunk[-1]]
+        return b"".join(map(self.piece.__getitem__, self.pieces(f" {chunk}")))
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -102,7 +123,7 @@ class Encoder:
             if not text.isascii() and not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             return b"".join(map(get, text.lower().split()))
-        if _IRREGULAR.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _IRREGULAR):
             return b"".join(map(self.piece.__getitem__, self.pieces(text)))
         # a blank opens the piece after it; a line end is a piece of its own
         after, out = self.spaced.__getitem__, []
