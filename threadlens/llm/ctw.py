@@ -25,15 +25,15 @@ from pyspark.sql import types as T
 from threadlens.llm import words
 from threadlens.llm.common import arrow_texts, row_blocks, stored
 
-DEPTH = 6
-NODES = 50_000
+DEPTH = 5
+NODES = 40_000
 #: Words with at least 1 in ``HOT`` of all training tokens are looked up in the worker (at most ``HOT`` of them exist).
 HOT = 1 << 21
 END = 10
 _U = np.uint64
-_BLOCK = 1_000_000
+_BLOCK = 600_000
 #: Distinct values that a task gathers before it hands them on.
-_HELD = 1_500_000
+_HELD = 500_000
 
 
 class Stream:
