@@ -19,7 +19,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm import words
@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Nodes of a bucket that are compared with each other at once; more have hubs.
 FEW = 4
+#: Nodes that a hub took which its borderline nodes meet before all others.
+FIRST = 8
 #: Hubs tried in a bucket before its remaining nodes are compared with each other.
 HUB_ROUNDS = 4
 _U = np.uint64
@@ -146,6 +148,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")))
 
 
+def _apart(edge: DataFrame, links: DataFrame, degree: DataFrame) -> DataFrame:
+    """Rows of ``edge`` (``bucket, b, y``) whose ``y`` and hub ``b`` do not meet in a best neighbour's best neighbour in ``links``."""
+    sides = links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b"))
+    label = sides.toDF("node", "next").join(degree.withColumnRenamed("node", "next"), "next") \
+                 .groupBy("node").agg(F.max(F.struct("degree", "next"))["next"].alias("label"))
+    label = label.join(label.toDF("label", "far"), "label").select("node", F.col("far").alias("label"))  # two links away
+    of = lambda c: label.withColumnsRenamed({"node": c, "label": f"of_{c}"})
+    both = edge.join(of("y"), "y", "left").join(of("b"), "b", "left")
+    return both.where("of_y IS NULL OR of_b IS NULL OR of_y != of_b").select("bucket", "b", "y")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """``doc_id, class_id`` for every row of ``docs`` (``doc_id, text``): rows of a class are joined by copies and links.
@@ -191,19 +204,19 @@ def _links(docs: DataFrame, sketched: DataFrame, similarity: float, shingle: int
         judged = stored(star.where("hub").join(known, ["a", "b"]), "judged")
         if judged.isEmpty():
             break
-        # nodes between the two similarities meet those that the hub took, unless they share a neighbour with the hub
-        near = known.where(F.col("similarity") >= similarity)
-        sides = near.select("a", "b").union(near.select("b", "a")).union(near.select("a", "a")).union(near.select("b", "b"))
-        label = sides.toDF("node", "next").join(degree.withColumnRenamed("node", "next"), "next") \
-                     .groupBy("node").agg(F.max(F.struct("degree", "next"))["next"].alias("label"))
-        of = lambda c: label.withColumnsRenamed({"node": c, "label": f"of_{c}"})
+        # nodes between the two similarities meet those that the hub took: first the few that meet most others,
+        # then, where no common neighbour joins them to the hub by now, all of them
         edge = judged.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1)) \
                      .select("bucket", "b", F.col("a").alias("y"))
-        edge = edge.join(of("y"), "y", "left").join(of("b"), "b", "left").where("of_y IS NULL OR of_b IS NULL OR of_y != of_b")
         taken = judged.where(F.col("similarity") >= similarity).select("bucket", "b", F.col("a").alias("x"))
-        more = stored(edge.join(taken, ["bucket", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "more")
-        if not more.isEmpty():
-            known = stored(known.unionByName(_similar(more.join(known, ["a", "b"], "left_anti"), sets)), "known")
+        rank = F.row_number().over(Window.partitionBy("bucket", "b").orderBy(F.desc("degree"), "x"))
+        best = taken.join(degree.withColumnRenamed("node", "x"), "x").withColumn("rank", rank).where(F.col("rank") <= FIRST)
+        for some in (best.select("bucket", "b", "x"), taken):
+            more = _apart(edge, known.where(F.col("similarity") >= similarity), degree).join(some, ["bucket", "b"])
+            more = more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+            more = stored(more, "more")
+            if not more.isEmpty():
+                known = stored(known.unionByName(_similar(more, sets)), "known")
         # nodes that no hub took go on, without the hub
         rest = judged.where(F.col("similarity") < similarity).select("bucket", F.col("a").alias("node"))
         rest = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
