@@ -148,12 +148,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")))
 
 
-def _apart(edge: DataFrame, links: DataFrame, degree: DataFrame) -> DataFrame:
-    """Rows of ``edge`` (``bucket, b, y``) whose ``y`` and hub ``b`` do not meet in a best neighbour's best neighbour in ``links``."""
+def _labels(links: DataFrame, degree: DataFrame) -> DataFrame:
+    """``node, label``: each linked node's best neighbour's best neighbour; equal labels mean that a path joins the nodes."""
     sides = links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b"))
     label = sides.toDF("node", "next").join(degree.withColumnRenamed("node", "next"), "next") \
                  .groupBy("node").agg(F.max(F.struct("degree", "next"))["next"].alias("label"))
-    label = label.join(label.toDF("label", "far"), "label").select("node", F.col("far").alias("label"))  # two links away
+    return label.join(label.toDF("label", "far"), "label").select("node", F.col("far").alias("label"))
+
+
+def _apart(edge: DataFrame, links: DataFrame, degree: DataFrame) -> DataFrame:
+    """Rows of ``edge`` (``bucket, b, y``) whose ``y`` and hub ``b`` have different labels."""
+    label = _labels(links, degree)
     of = lambda c: label.withColumnsRenamed({"node": c, "label": f"of_{c}"})
     both = edge.join(of("y"), "y", "left").join(of("b"), "b", "left")
     return both.where("of_y IS NULL OR of_b IS NULL OR of_y != of_b").select("bucket", "b", "y")
@@ -185,7 +190,7 @@ def _links(docs: DataFrame, sketched: DataFrame, similarity: float, shingle: int
     shared = stored(members.join(sizes, "bucket"), "shared")
     # the node that meets the most others is the best hub
     degree = stored(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
-    left = stored(shared.select("bucket", "n", "node").join(degree, "node"), "left")
+    left = stored(shared.select("bucket", "n", "node", F.col("node").alias("label")).join(degree, "node"), "left")
     wanted = shared.select("doc_id").distinct()
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = stored(shingle_sets(texts, shingle).dropDuplicates(["node"]), "sets")
@@ -195,8 +200,9 @@ def _links(docs: DataFrame, sketched: DataFrame, similarity: float, shingle: int
         few, many = left.where(F.col("n") <= most), left.where(F.col("n") > most)
         hubs = many.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("b"))
         star = many.join(hubs, "bucket").select("bucket", F.col("node").alias("a"), "b", F.lit(True).alias("hub")).where("a != b")
-        each = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket") \
-                  .where("a < b").withColumn("hub", F.lit(False))
+        each = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("of_a")) \
+                  .join(few.select("bucket", F.col("node").alias("b"), F.col("label").alias("of_b")), "bucket") \
+                  .where("a < b AND of_a != of_b").select("bucket", "a", "b", F.lit(False).alias("hub"))
         star = stored(star.unionByName(each), "star")
         pairs = star.select("a", "b").distinct()
         known = stored(_similar(pairs, sets) if known is None else known.unionByName(
@@ -217,10 +223,13 @@ def _links(docs: DataFrame, sketched: DataFrame, similarity: float, shingle: int
             more = stored(more, "more")
             if not more.isEmpty():
                 known = stored(known.unionByName(_similar(more, sets)), "known")
-        # nodes that no hub took go on, without the hub
-        rest = judged.where(F.col("similarity") < similarity).select("bucket", F.col("a").alias("node"))
-        rest = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-        left = stored(rest.join(degree, "node").select("bucket", "n", "node", "degree"), "left")
+        # nodes that no hub took go on, without the hub, in buckets where they are not all joined by now
+        label = _labels(known.where(F.col("similarity") >= similarity), degree)
+        rest = judged.where(F.col("similarity") < similarity).select("bucket", F.col("a").alias("node")) \
+                     .join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        left = stored(rest.join(open_.select("bucket", "n"), "bucket").join(degree, "node")
+                      .select("bucket", "n", "node", "label", "degree"), "left")
     return known.where(F.col("similarity") >= similarity).select("a", "b")
 
 
