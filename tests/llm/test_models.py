@@ -113,6 +113,22 @@ def test_context_tree_equals_the_definition():
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_whole_context_tree(spark, monkeypatch):
+    """Every context counts, however many there are: against a tree of all contexts held in memory, for known and unknown text."""
+    rows = [(k, prose(40, k) + f" q{k}x") for k in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    texts = docs.where("doc_id < 30 OR doc_id > 59")
+    small = ctw.score(docs, ctw.train(texts, nodes=500)).toPandas().sort_values("doc_id")
+    held = ctw.score(docs, ctw.train(texts, nodes=1 << 30)).toPandas().sort_values("doc_id")
+    model = ctw.train(texts)
+    whole = ctw.score(docs, model).toPandas().sort_values("doc_id")
+    assert np.allclose(whole.score, held.score, atol=1e-3) and not np.allclose(whole.score, small.score, atol=1e-3)
+    deepest = {(r.key >> 8) for r in model[0].grams.collect()}
+    assert model[0].levels[ctw.DEPTH].select(F.shiftright("node", 8)).distinct().count() == len(deepest) > 500
+    monkeypatch.setattr(ctw, "HOT_GRAMS", 100)  # nearly all grams are met in the join
+    assert np.allclose(ctw.score(docs, model).toPandas().sort_values("doc_id").score, whole.score)
+
+
 def test_language_model_scores(spark, odd, odd_rows, empty):
     train = odd.where("doc_id < 8")
     got = ctw.score(odd.select("doc_id", "text", F.lit("x").alias("score"), F.lit("y").alias("n_bytes")), ctw.train(train, nodes=300)).collect()

@@ -6,29 +6,32 @@ known, has a Krichevsky-Trofimov estimate. The weighted probability of a node is
 the product of the nodes one byte deeper, so the prediction mixes the estimates of all depths by how well they have
 coded the training text.
 
-The tree has the ``NODES`` most frequent contexts of the whole training text. What follows a context
-after a byte that the tree does not have is one more leaf below it, so every count is in the tree. The table that executors
-hold, log-probabilities of 256 bytes for each context, has a fixed size whatever the corpus.
+The tree has every context of the whole training text, so it grows with the corpus: it is a table for each depth, weighed
+bottom-up by one grouping a depth and asked top-down by one join a depth. The log-probabilities of the most frequent
+grams (a byte after its context) are looked up in the worker, all others meet theirs in a join. A smaller tree of a given
+number of contexts, held whole by the workers, can be asked for; there, what follows a context after a byte that the
+tree does not have is one more leaf below it.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import words
 from threadlens.llm.common import arrow_texts, row_blocks, stored
 
-DEPTH = 5
-NODES = 40_000
+DEPTH = 6
 #: Words with at least 1 in ``HOT`` of all training tokens are looked up in the worker (at most ``HOT`` of them exist).
 HOT = 1 << 21
+#: The same for grams: those with at least 1 in ``HOT_GRAMS`` of all training bytes are looked up in the worker.
+HOT_GRAMS = 1 << 21
 END = 10
 _U = np.uint64
 _BLOCK = 600_000
@@ -212,7 +215,74 @@ class Tree:
         return np.add.reduceat(self.table[node, stream.bytes].astype(float), stream.start[:-1]) if len(stream.length) else np.zeros(0)
 
 
-def grow(grams: DataFrame, nodes: int = NODES) -> Tree:
+class Whole(NamedTuple):
+    """The tree of all contexts, as tables."""
+
+    levels: list[DataFrame]  # by depth: node, stop (the weight of its own estimate), one (its estimate that the bit is 1)
+    grams: DataFrame         # key, n, log: every gram of the training text and its log10 probability
+
+
+def _steps() -> Column:
+    """The eight decisions of a gram: its context at full depth above the known bits (after a leading 1), and the bit."""
+    key, byte = F.col("key"), F.col("key").bitwiseAND(F.lit(255))
+    above = key - byte
+    return F.explode(F.array(*(
+        F.struct((above + F.shiftright(byte, 8 - i) + F.lit(1 << i)).alias("node"),
+                 F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).cast("int").alias("bit")) for i in range(8))))
+
+
+def _shorter(depth: int) -> Column:
+    """The node of the same bits in the context's nearest ``depth`` bytes."""
+    return F.col("node").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
+
+
+def _log_gamma_of(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 0.5, as ``_log_gamma``."""
+    y, product = x + 8, x
+    for k in range(1, 8):
+        product = product * (x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
+
+
+def _answers(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``key, log``: the log10 probability of every gram of ``keys`` (distinct), in the training text or not."""
+    steps = stored(keys.select("key", _steps().alias("step")).select("key", "step.node", "step.bit"), "steps")
+    nodes = steps.select("node").distinct().select("node", F.lit(0.0).alias("done"), F.lit(1.0).alias("left"))
+    for d, level in enumerate(levels):
+        at = level.select(F.col("node").alias("at"), "stop", "one")
+        if d < 2:  # at most 255 and 65,280 rows, which very many nodes ask
+            at = F.broadcast(at)
+        # a node without counts is undecided, and so are all below it
+        stop, one = F.coalesce("stop", F.lit(0.5 if d < DEPTH else 1.0)), F.coalesce("one", F.lit(0.5))
+        nodes = nodes.join(at, _shorter(d) == F.col("at"), "left").select(
+            "node", (F.col("done") + F.col("left") * stop * one).alias("done"), (F.col("left") * (1 - stop)).alias("left"))
+    return (steps.join(nodes, "node").groupBy("key")
+            .agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("done")).otherwise(1 - F.col("done")))).alias("log")))
+
+
+def grow_whole(grams: DataFrame) -> Whole:
+    """The tree of all contexts of the gathered grams, weighed from the longest contexts up."""
+    levels: list[DataFrame] = []
+    counted = (grams.select("n", _steps().alias("step")).groupBy(F.col("step.node").alias("node"))
+               .agg(*(F.sum(F.when(F.col("step.bit") == b, F.col("n")).otherwise(0)).alias(f"n{b}") for b in (0, 1))))
+    for d in range(DEPTH, -1, -1):
+        if d < DEPTH:
+            counted = levels[0].groupBy(_shorter(d).alias("node")).agg(
+                F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("deeper"))
+        n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
+        state = counted.withColumn("own", _log_gamma_of(n0 + 0.5) + _log_gamma_of(n1 + 0.5) - _log_gamma_of(n0 + n1 + 1) - math.log(math.pi))
+        own = F.col("own")
+        if d < DEPTH:
+            both = F.greatest("own", "deeper") + F.log1p(F.exp(-F.abs(own - F.col("deeper")))) - math.log(2)
+            state = state.withColumn("weighted", both).withColumn("stop", F.exp(own - math.log(2) - F.col("weighted")))
+        else:
+            state = state.withColumn("weighted", own).withColumn("stop", F.lit(1.0))
+        state = state.select("node", "n0", "n1", "weighted", "stop", ((n1 + 0.5) / (n0 + n1 + 1)).alias("one"))
+        levels.insert(0, stored(state, "level"))
+    return Whole(levels, stored(grams.join(_answers(grams.select("key"), levels), "key"), "answers"))
+
+
+def grow(grams: DataFrame, nodes: int) -> Tree:
     """The tree of the ``nodes`` most frequent contexts of all gathered grams, with their counts."""
     low = lambda n: F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))
     by_byte = [grams.groupBy(low(d + 1).alias("key")).agg(F.sum("n").alias("n")).select(F.lit(d).alias("depth"), "key", "n")
@@ -239,27 +309,47 @@ def grow(grams: DataFrame, nodes: int = NODES) -> Tree:
     return Tree(pairs, weigh(counts, depth, parent, used))
 
 
-def train(texts: DataFrame, text: str = "text", nodes: int = NODES) -> tuple[Tree, DataFrame]:
-    """A tree and the token counts (``key, n``; the end is key 0) of all ``texts``; null texts are empty."""
+def _looked_up(stream: Stream, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's sum over the grams of ``keys`` (ascending), and its other grams one text after another with their offsets."""
+    n = len(stream.length)
+    grams, rows = _grams(stream), np.repeat(np.arange(n), stream.length)
+    place = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
+    known = keys[place] == grams if len(keys) else np.zeros(len(grams), bool)
+    own = np.bincount(rows[known], logs[place[known]], n).astype(float)
+    return own, grams[~known], np.concatenate([[0], np.cumsum(np.bincount(rows[~known], minlength=n))])
+
+
+def train(texts: DataFrame, text: str = "text", nodes: int | None = None) -> tuple[Whole | Tree, DataFrame]:
+    """A tree and the token counts (``key, n``; the end is key 0) of all ``texts``; null texts are empty.
+
+    The tree has all contexts, or the ``nodes`` most frequent ones if a number is given.
+    """
     texts = texts.select(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return grow(_gather(texts, _grams, "grams"), nodes), _gather(texts, _tokens, "tokens")
+    grams = _gather(texts, _grams, "grams")
+    return grow_whole(grams) if nodes is None else grow(grams, nodes), _gather(texts, _tokens, "tokens")
 
 
-def score(docs: DataFrame, model: tuple[Tree, DataFrame], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Whole | Tree, DataFrame], text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` added.
 
     ``base_score`` is the add-one unigram score of the words and the end, ``score`` the tree's log10 probability of the text. Null
     and empty texts are the end alone. All rows stay, repeated ones are scored alike; clashing columns are replaced.
-    Words below the hot bound meet their counts in a join, as long as the corpus has them.
+    Words and grams below the hot bounds meet their counts and log-probabilities in a join.
     """
     tree, counts = model
+    whole = tree if isinstance(tree, Whole) else None
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
     docs = docs.drop(*[c for c in new if c != text])
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = counts.where(F.col("n") * HOT >= total).toPandas().sort_values("key")
     spark, rest = docs.sparkSession, [f for f in docs.schema.fields if f.name != text]
     log_all = math.log10(total + kinds + 1)
+    if whole is not None:
+        length = whole.grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        often = whole.grams.where(F.col("n") * HOT_GRAMS >= length).select("key", "log").toPandas().sort_values("key")
+        tree = (often["key"].to_numpy(np.int64), often["log"].to_numpy(float))
     held = spark.sparkContext.broadcast((tree, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
+    del tree
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,20 +366,31 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], text: str = "text") ->
                 part = np.bincount(rows[known], logs[place[known]], b - a).astype(float)  # of whole numbers if empty
                 rare = every[~known][np.argsort(rows[~known], kind="stable")]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows[~known], minlength=b - a))])
+                if isinstance(tree, Tree):
+                    own, seldom, stops = tree.score(stream), np.zeros(0, np.int64), np.zeros(b - a + 1, np.int64)
+                else:
+                    own, seldom, stops = _looked_up(stream, *tree)
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(a, b - a) for k, c in enumerate(batch.columns) if k != at), pa.array(stream.n_words + 1),
-                     pa.array(np.bincount(rows[known], minlength=b - a)), pa.array(part), pa.array(tree.score(stream)),
-                     pa.array(stream.length), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare))],
+                     pa.array(np.bincount(rows[known], minlength=b - a)), pa.array(part), pa.array(own),
+                     pa.array(stream.length), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare)),
+                     pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(seldom))],
                     names=[*(c for k, c in enumerate(batch.schema.names) if k != at), *names])
 
-    names = ["_tokens", "_known", "_logs", "_score", "_bytes", "_rare"]
-    kinds_of = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.LongType())]
+    names = ["_tokens", "_known", "_logs", "_score", "_bytes", "_rare", "_seldom"]
+    kinds_of = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
     schema = T.StructType(rest + [T.StructField(c, k) for c, k in zip(names, kinds_of)])
     first = stored(docs.mapInArrow(run, schema).withColumn("_uid", F.monotonically_increasing_id()), "scores")
     rare = first.select("_uid", F.explode("_rare").alias("key"))
     met = (rare.join(counts.where(F.col("n") * HOT < total), "key")
            .groupBy("_uid").agg(F.sum(F.log10(F.col("n") + 1)).alias("_more"), F.count("*").alias("_found")))
     scored = first.join(met, "_uid", "left")
+    if whole is not None:
+        seldom = first.select("_uid", F.explode("_seldom").alias("key"))
+        fresh = stored(seldom.select("key").distinct().join(whole.grams.select("key"), "key", "left_anti"), "fresh")
+        every = whole.grams.where(F.col("n") * HOT_GRAMS < length).select("key", "log").unionByName(_answers(fresh, whole.levels))
+        scored = (scored.join(seldom.join(every, "key").groupBy("_uid").agg(F.sum("log").alias("_deep")), "_uid", "left")
+                  .withColumn("_score", F.col("_score") + F.coalesce("_deep", F.lit(0.0))))
     return scored.select(
         *[f.name for f in rest], F.col("_tokens").alias("n_tokens"), (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
