@@ -20,8 +20,6 @@ from threadlens.llm.common import arrow_texts, row_blocks, spare
 
 #: Hash buckets of the n-gram distributions: a model has languages x 65,536 numbers whatever it was trained on.
 BITS = 16
-#: Most labelled documents that a fit counts, drawn by a hash of their ids (all, if there are fewer).
-FIT_ROWS = 20_000
 #: Bytes of a segment, EM steps, most languages of a document, and the cost of one more language in log-likelihood.
 SEGMENT = 48
 STEPS = 12
@@ -59,19 +57,14 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                      (pair | (two << np.uint32(16))) * np.uint32(0xC2B2AE35) >> top])
 
 
-def train(docs: DataFrame, language: str = "lang", text: str = "text", key: str = "doc_id",
-          fit_rows: int = FIT_ROWS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, language: str = "lang", text: str = "text", smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Learned languages, sorted, and their log distributions (languages x 3 x buckets).
 
-    Rows with a null text or language teach nothing. Without any row there is no language. Counting runs
+    All rows are counted, so rare languages are learned whole. Rows with a null text or language teach nothing. Without any row there is no language. Counting runs
     per partition on the executors; each partition sends at most languages x 3 x buckets sums.
     """
-    labelled = docs.select(F.col(key).alias("key"), F.col(language).cast("string").alias("lang"), F.col(text).cast("string").alias("text")) \
+    labelled = docs.select(F.col(language).cast("string").alias("lang"), F.col(text).cast("string").alias("text")) \
                    .where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = labelled.count()
-    if rows > fit_rows:
-        share = int(fit_rows / rows * 1_000_000)
-        labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -82,16 +75,16 @@ def train(docs: DataFrame, language: str = "lang", text: str = "text", key: str
                 at = offsets[a:b + 1] - offsets[a]
                 grams = ngrams(data[offsets[a]:offsets[b]], at)
                 for name in set(names[a:b]):
-                    mine = np.repeat(names[a:b] == name, np.diff(at))
+                    mine = np.flatnonzero(names[a:b] == name)
                     own = sums.setdefault(name, np.zeros((3, 1 << BITS), np.int64))
                     for k in range(3):
-                        own[k] += np.bincount(grams[k][mine], minlength=1 << BITS)
+                        own[k] += np.bincount(np.concatenate([grams[k][at[r]:at[r + 1]] for r in mine]), minlength=1 << BITS)
         rows = [(name, k, int(g), int(own[k][g])) for name, own in sums.items() for k in range(3) for g in np.flatnonzero(own[k])]
         columns = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))],
                                          names=["lang", "k", "gram", "n"])
 
-    counted = (labelled.select("lang", "text").mapInArrow(count, "lang string, k int, gram int, n bigint")
+    counted = (labelled.mapInArrow(count, "lang string, k int, gram int, n bigint")
                .groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas())
     names = sorted(counted["lang"].unique())
     table = np.zeros((len(names), 3, 1 << BITS))
