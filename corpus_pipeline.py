@@ -28,8 +28,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; ``n_chars`` follows the text."""
-    out = linefreq.drop_lines(docs, counts=False)
+    """All documents, without the boilerplate lines of their source; ``n_chars`` follows the text.
+
+    Copies are still there, so a source's documents of equal text count as one: else a document that is often
+    copied would lose all its lines.
+    """
+    out = linefreq.drop_lines(docs, counts=False, copies=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -38,6 +38,15 @@ def test_run_equals_stages(spark, stages):
     assert sorted(map(tuple, P.run(spark, SF).select(*cols).collect())) == sorted(map(tuple, stages[-1].select(*cols).collect()))
 
 
+def test_copies_keep_their_lines(spark):
+    own = [f"Menu\nfirst line of {k}\nsecond line of {k}" for k in range(40)]
+    copied = "Menu\nalpha beta gamma\ndelta epsilon"
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(own + [copied] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in P.line_dedup(spark, docs, SF).collect()}
+    assert got == {k: t.removeprefix("Menu\n") for k, t, *_ in rows}
+
+
 def test_stages_with_odd_rows_and_columns(spark, clashing, empty):
     for docs in (clashing, empty):
         for _, stage in P.STAGES[:-1]:

@@ -25,34 +25,41 @@ def _key(col: Column) -> Column:
     return F.struct(F.xxhash64(col).alias("a"), F.hash(col).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                copies: bool = True) -> DataFrame:
     """``host, lines``: per host the keys of lines on more than ``ratio`` of its pages and on ``min_pages`` at least.
 
     A host has at most (lines per page) / ``ratio`` such lines, so the array is bounded whatever the host's size. Counts are
-    combined before the shuffle, so a host with a third of all pages, or a line on all of them, is no burden.
+    combined before the shuffle, so a host with a third of all pages, or a line on all of them, is no burden. Without ``copies``,
+    a host's pages of equal text count as one.
     """
     pages = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
     lines = F.array_distinct(F.transform(F.split("text", "\n"), _line))
-    on = (pages.select("host", F.explode(lines).alias("line")).where("line != ''")
-          .select("host", _key(F.col("line")).alias("key"))
-          .groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    if copies:
+        found = pages.select("host", F.explode(lines).alias("line")).where("line != ''").select("host", _key(F.col("line")).alias("key"))
+    else:
+        keys = F.transform(F.filter(lines, lambda x: x != ""), _key)
+        pages = pages.select("host", _key(F.col("text")).alias("page"), keys.alias("keys")) \
+                     .groupBy("host", "page").agg(F.first("keys").alias("keys"))
+        found = pages.select("host", F.explode("keys").alias("key"))
+    on = (found.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     total = pages.groupBy("host").agg(F.count("*").alias("total"))
     return (on.join(total, on["host"].eqNullSafe(total["host"])).where(F.col("n") > ratio * F.col("total"))
             .groupBy(on["host"].alias("host")).agg(F.collect_list("key").alias("lines")))
 
 
 def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-               min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+               min_pages: int = MIN_PAGES, counts: bool = True, copies: bool = True) -> DataFrame:
     """``pages`` with the boilerplate lines of their host removed from ``text``; with ``counts`` also ``n_lines, n_dropped``.
 
     All rows and other columns stay (with ``counts``, columns of those two names are replaced). Each row is a
-    page, copies included; pages without a host form one. Null texts stay null with 0 lines; blank lines are
+    page, copies included, or each text of a host without ``copies``; pages without a host form one. Null texts stay null with 0 lines; blank lines are
     never dropped; a page whose lines all go keeps an empty text.
     """
     if counts:
         pages = pages.drop("n_lines", "n_dropped")
     own, lines, kept = spare(pages, "own", "lines", "kept")
-    found = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias(own), F.col("lines").alias(lines))
+    found = boilerplate(pages, host, text, ratio, min_pages, copies).select(F.col("host").alias(own), F.col("lines").alias(lines))
     order = pages.columns
     joined = pages.join(found, pages[host].eqNullSafe(found[own]), "left").drop(own)
     parts = F.split(F.col(text), "\n")
