@@ -160,6 +160,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_near_duplicates_with_other_repeat_counts(spark):
+    """Near by distinct shingles, far by weighted ones: a line occurs once in one text and many times in the other."""
+    texts = []
+    for k in range(12):
+        body, line = " ".join(f"w{k}x{j}" for j in range(200)), " ".join(f"m{k}x{j}" for j in range(20))
+        texts += [(2 * k, f"{body}\n{line}"), (2 * k + 1, f"{body}\n" + f"{line}\n" * (10 + 4 * k))]
+    want = brute_classes(texts)
+    assert want == {j: j - j % 2 for j in range(24)}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, clashing, empty, odd_rows):
     out = probminhash.near_duplicates(clashing).collect()
     assert len(out) == len(odd_rows)

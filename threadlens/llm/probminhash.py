@@ -2,8 +2,9 @@
 
 A document's weighted set has its five-word shingles, each weighing as often as it occurs. Every shingle sends
 arrivals of a Poisson process with its weight as the rate to random registers, and a register keeps the shingle of
-its first arrival; two documents agree in a register with the probability Jaccard similarity of their sets. A
-shingle stops once its next arrival comes after the latest first arrival of any register.
+its first arrival; two documents agree in a register with the probability Jaccard similarity of their sets. As links are
+verified on distinct shingles, a document with repeated ones has bands of the same process with all weights 1 as well,
+so that documents which differ in how often a passage occurs meet too. A shingle stops once its next arrival comes after the latest first arrival of any register.
 
 Texts with the same words are copies and form one node. Nodes that share a band of registers are candidates. In
 each bucket of more than a few nodes all are compared with one hub, not with each other. Jaccard distance is a metric, so a node with a
@@ -102,6 +103,19 @@ def _copies(text: bytes) -> bytes | None:
 _NORMAL = bytes(int(words.LOWER[b]) if words.ALNUM[b] else 32 for b in range(256))
 
 
+def _both_bands(row: np.ndarray, found: np.ndarray, weight: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of ``n`` texts one after another and their offsets: those of the weighted set, then others of the distinct shingles."""
+    keys = _bands(signatures(row, found, weight, n, bands * rows), bands, rows)
+    repeated = np.unique(row[weight > 1])  # in all other texts the two sets are the same
+    part = np.isin(row, repeated)
+    plain = signatures(np.searchsorted(repeated, row[part]), found[part], np.ones(part.sum()), len(repeated), bands * rows)
+    plain = _bands(plain, bands, rows)
+    fresh = plain != keys[repeated]
+    of = np.concatenate([np.repeat(np.arange(n), bands), np.repeat(repeated, fresh.sum(axis=1))])
+    order = np.argsort(of, kind="stable")
+    return np.concatenate([keys.ravel(), plain[fresh]])[order], np.searchsorted(of[order], np.arange(n + 1))
+
+
 def sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     """``doc_id, node, bands`` of every row of ``docs`` (``doc_id, text``)."""
 
@@ -111,10 +125,10 @@ def sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
             for a, b in row_blocks(offsets, _BLOCK):
                 part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 row, found, weight = weighted_shingles(part, at, shingle)
-                keys = _bands(signatures(row, found, weight, b - a, bands * rows), bands, rows)
+                keys, ends = _both_bands(row, found, weight, b - a, bands, rows)
                 raw = part.tobytes()
                 nodes = [_copies(raw[at[k]:at[k + 1]]) for k in range(b - a)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), lists],
                                                  names=["doc_id", "node", "bands"])
 
