@@ -223,6 +223,12 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert abs((model.rest[c][3] * model.single[c]).sum() + model.pairs[c].sum() - 1) < 1e-9
 
 
+def test_the_other_class_is_scaled_to_the_own_size():
+    """A word that is 100 times as likely in the smaller class counts there, and in the larger one does not."""
+    own = toxicity.own_counts([np.array([10.0]), np.array([30.0])], [33.0, 1.0], lambda x: np.maximum(x, 0), lambda test, x: np.where(test, x, 0))
+    assert own[0][0] == 0 and own[1][0] > 25
+
+
 def test_held_out(spark):
     from threadlens.llm.common import held_out
 

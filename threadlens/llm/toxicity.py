@@ -3,7 +3,8 @@
 A toxic and an ordinary word-bigram model are counted over labelled documents. All counts are continuation counts:
 after how many different words a word or a pair occurs, so that copies of a text add nothing.
 Absolute discounting moves mass from a class's own counts to its backoff: a discount of ``DISCOUNT`` and
-``OTHER`` times one more than the count in the other class (at equal sizes), and the whole of counts up to ``RARE``. Pairs back off to words of the class, words to counts shared by both classes. So what both classes say, and
+``OTHER`` times one more than the count in the other class, scaled to the class's size, and the whole of counts up to ``RARE``. Only
+the first of these is Kneser-Ney's; the others are added, since plain models of classes of unequal size mostly tell the sizes apart. Pairs back off to words of the class, words to counts shared by both classes. So what both classes say, and
 what is too rare to tell, has the same probability in both. A document's score is a logistic curve over
 the difference of its two log-likelihoods per word, fitted on labelled documents that the models have not counted.
 
@@ -80,10 +81,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def own_counts(n: list, totals: list, floor, choose):
-    """Discounted counts of both classes from their counts; ``totals`` weigh the classes' sizes against each other."""
+    """Discounted counts of both classes from their counts; ``totals`` scale the other class's counts to the own class's size."""
     out = []
     for c in (0, 1):
-        left = n[c] - DISCOUNT - OTHER * max(1.0, totals[c] / max(totals[1 - c], 1)) * (n[1 - c] + 1)
+        left = n[c] - DISCOUNT - OTHER * (totals[c] / max(totals[1 - c], 1)) * (n[1 - c] + 1)
         out.append(choose(n[c] > RARE, floor(left)))
     return out
 
