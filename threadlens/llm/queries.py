@@ -7,7 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bitplanes, bytecnn, cascade, ctw, decontam, langid, linefreq, packing, probminhash, toxicity
+from threadlens.llm import (bitplanes, bytecnn, cascade, ctw, decontam, exactdedup, laesa, langid, linefreq, packing, probminhash, toxicity,
+                            whitening)
 from threadlens.llm.common import held_out, shared_path
 from threadlens.llm.encode import tokenizer_path
 from threadlens.sources.tables import load
@@ -66,6 +67,21 @@ def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs.select("doc_id", "held_out", "text"), model)
 
 
+def op11_laesa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.cluster(load(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.classes(load(spark, sf_dir, "documents"))
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(load(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond 64 bits
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_context_tree, op3_aho_corasick, op4_bit_planes, op5_language_mixture, op6_probminhash, op7_rule_cascade, op8_byte_cnn, op9_kneser_ney, op10_site_line_frequency)}
-ORACLE: dict[str, str] = {"op7_rule_cascade": cascade.oracle_sql(), "op10_site_line_frequency": linefreq.oracle_sql()}
+    op1_best_fit_packing, op2_context_tree, op3_aho_corasick, op4_bit_planes, op5_language_mixture, op6_probminhash, op7_rule_cascade, op8_byte_cnn, op9_kneser_ney, op10_site_line_frequency,
+    op11_laesa, op12_exact_dedup, op13_block_whitening)}
+ORACLE: dict[str, str] = {"op7_rule_cascade": cascade.oracle_sql(), "op10_site_line_frequency": linefreq.oracle_sql(),
+                          "op11_laesa": laesa.oracle_sql(), "op12_exact_dedup": exactdedup.oracle_sql()}
