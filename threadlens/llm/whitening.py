@@ -10,15 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import SparkContext
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import stored
+from threadlens.session import materialize
 
 SCALE, SHIFT = 1024, 100_000
 COMPONENTS = 8
@@ -76,11 +76,20 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def blocks_of(rows: DataFrame, n: int, sums: list[int]) -> BlockMatrix:
-    """The centred rows (n * x - sum, exact, then divided by n) as blocks, by their number ``at``."""
-    totals = F.array(*[F.lit(s) for s in sums])
-    centred = F.zip_with("x", totals, lambda x, s: (x * n - s).cast("double") / n)
-    indexed = MLUtils.convertVectorColumnsFromML(rows.select(F.col("at").alias("index"), array_to_vector(centred).alias("vector")), "vector")
-    return IndexedRowMatrix(indexed, n, len(sums)).toBlockMatrix(BLOCK, len(sums))
+    """The centred rows (n * x - sum, exact, then divided by n) in blocks of :data:`BLOCK`, by their number ``at``.
+
+    Blocks are grouped as rows of a table and stored in the form that MLlib reads as matrices, so they are built once, and each
+    product reads them again.
+    """
+    dims, totals = len(sums), F.array(*[F.lit(s) for s in sums])
+    packed = rows.groupBy(F.floor(F.col("at") / BLOCK).alias("i")).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("rows"))
+    values = F.flatten(F.transform("rows", lambda r: F.zip_with(r["x"], totals, lambda x, s: (x * n - s).cast("double") / n)))
+    none = F.lit(None).cast("array<int>")
+    matrix = F.struct(F.lit(1).cast("tinyint").alias("type"), F.size("rows").alias("numRows"), F.lit(dims).alias("numCols"),
+                      none.alias("colPtrs"), none.alias("rowIndices"), values.alias("values"), F.lit(True).alias("isTransposed"))
+    place = F.struct("i", F.lit(0).cast("long").alias("j"))
+    table = materialize(packed.select(place.alias("place"), matrix.alias("block")), "blocks", read_as={"block": MatrixUDT()})
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", table, BLOCK, dims, n, dims), BLOCK, dims)
 
 
 def _times(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
