@@ -23,6 +23,10 @@ TEXTLESS_MOD = 97      # every 97th item has no text
 DELETED_MOD = 31       # every 31st comment is deleted
 DEAD_EVENT = "error"   # comments from 'error' events are dead
 
+#: Items whose texts one task attaches (a text has a few KB), and the most tasks this makes.
+TEXTS_A_TASK = 4_000
+MOST_TASKS = 20_000
+
 
 def _id_space(df: DataFrame, col: str) -> Column:
     """Size of a contiguous id space (max + 1), as a scalar subquery inside the plan."""
@@ -65,6 +69,9 @@ def items(spark: SparkSession, sf_dir: str, *, presence: bool = False, with_text
         (F.pmod(F.col("event_id"), F.lit(TEXTLESS_MOD)) == 0).alias("_textless"),
     )
     if with_text:
+        # the events are one small file, so one task would attach (and later tokenize) every text: spread the narrow rows first
+        tasks = -(-events.count() // TEXTS_A_TASK)
+        base = base.repartition(max(1, min(tasks, MOST_TASKS)), "id")
         out = base.join(docs, base["_doc_key"] == docs["doc_id"], "left")
     else:
         out = base.withColumn("text", F.lit(None).cast("string"))
@@ -113,3 +120,25 @@ def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(F.col("doc_id"), F.lit(DELETED_BODY_MOD)) == 0, F.lit(DELETED_BODY))
          .otherwise(F.col("text")).alias("body"),
     )
+
+
+def story_documents(items: DataFrame) -> DataFrame:
+    """``(id, document)``: each story as one nested JSON document, its ``kids`` inside their parents.
+
+    Built from the deepest level of the heap layout upwards; a parent has at most two kids, so nothing large is gathered.
+    """
+    r = F.pmod(F.col("id"), F.lit(BLOCK))
+    level = F.floor(F.log2(r + 1)).cast("int")
+    own = F.to_json(F.struct("id", "type", "by", "time", "score", "parent", "dead", "deleted"))
+    nodes = items.select("id", "parent", level.alias("level"), F.regexp_replace(own, "}$", "").alias("open"))
+    below = None
+    for d in range(BLOCK.bit_length() - 1, -1, -1):
+        here = nodes.where(F.col("level") == d)
+        if below is None:
+            below = here.select("id", "parent", F.concat("open", F.lit("}")).alias("document"))
+            continue
+        kids = below.groupBy(F.col("parent").alias("_p")).agg(F.sort_array(F.collect_list(F.struct("id", "document"))).alias("_k"))
+        inside = F.concat(F.lit(',"kids":['), F.array_join("_k.document", ","), F.lit("]}"))
+        below = here.join(kids, here["id"] == kids["_p"], "left").select(
+            "id", "parent", F.concat("open", F.coalesce(inside, F.lit("}"))).alias("document"))
+    return below.select("id", "document")
