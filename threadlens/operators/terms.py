@@ -12,6 +12,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.functions.snowball import snowball_stems
 from threadlens.functions.stopwords import STOP_WORDS
 from threadlens.functions.text import freq_words, is_kept, token_runs, tokens_freq
 from threadlens.functions.text import tokens as default_tokens
@@ -54,6 +55,29 @@ def word_freq(df: DataFrame, keys: Sequence[str], text_col: str = "text",
         .select(*keys, F.col("term").alias("word"), F.col("tf").alias("freq"))
 
 
+def stemmed_tokens(df: DataFrame, keys: Sequence[str], text_col: str = "text",
+                   tokenizer: Callable[[Column], Column] = default_tokens) -> DataFrame:
+    """F2 + F9: ``(*keys, pos, stem)``. Each distinct term is stemmed once and joined back to its occurrences."""
+    toks = materialize(explode_tokens(df, keys, text_col, tokenizer, with_position=True), "tokens")
+    stems = materialize(snowball_stems(toks), "stems")
+    return toks.join(stems, "term").select(*keys, "pos", "stem")
+
+
+def stemmed_grams(df: DataFrame, keys: Sequence[str], text_col: str = "text", hi: int = 3,
+                  tokenizer: Callable[[Column], Column] = default_tokens) -> DataFrame:
+    """F2 + F9 + F7: ``(*keys, term, tf)`` of the 1- to ``hi``-grams of stems, within each text (``keys`` name one text).
+
+    Neighbours are found by a window in text order, so no text's grams are gathered into one row.
+    """
+    order = Window.partitionBy(*keys).orderBy("pos")
+    toks = stemmed_tokens(df, keys, text_col, tokenizer)
+    after = [F.lead("stem", k).over(order).alias(f"_{k}") for k in range(1, hi)]
+    toks = toks.select(*keys, F.col("stem").alias("_0"), *after)
+    grams = [F.when(F.col(f"_{n - 1}").isNotNull(), F.concat_ws(" ", *[f"_{k}" for k in range(n)])) for n in range(1, hi + 1)]
+    flat = toks.select(*keys, F.explode(F.array(*grams)).alias("term")).where("term IS NOT NULL")
+    return flat.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def term_count(tokens_col: str, term: str) -> Column:
     """Occurrences of ``term`` in a token array."""
     return F.size(F.filter(F.col(tokens_col), lambda t: t == F.lit(term)))

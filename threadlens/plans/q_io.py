@@ -20,9 +20,9 @@ from threadlens.schema import ITEM
 from threadlens.session import scratch_path
 from threadlens.sources import readers as RD
 from threadlens.sources import sinks as SK
-from threadlens.sources.fixtures import ALLOWED_CATEGORIES, comment_lines, items
+from threadlens.sources.fixtures import ALLOWED_CATEGORIES, comment_lines, items, story_documents
 from threadlens.sources.tables import load
-from threadlens.streaming.ingest import ingest_stream, ingest_stream_stateful, process_new_stories
+from threadlens.streaming.ingest import ingest_stream, ingest_stream_stateful, process_new_stories, read_store
 
 W = S.with_
 
@@ -86,12 +86,24 @@ def comments_jsonl(spark, sf):
 
 @query("split_files", W(S.items_cte(), body="SELECT id, type, parent FROM items"))
 def split_files(spark, sf):
-    """The item table rewritten as id-ordered JSON parts of at most 1,000 records, read back."""
+    """The item table rewritten as id-ordered JSON parts of 1,000 records, read back."""
     path = scratch_path(spark, "parts")
     SK.split_files(_item_rows(spark, sf), path, rows_per_file=1000, key="id")
     return RD.read_items(spark, path, fmt="json").select("id", "type", "parent")
 
 
+@query("split_part_sizes", W(S.items_cte(), body="""
+SELECT part, count(*) AS n, min(id) AS first_id, max(id) AS last_id, 1 AS files FROM (
+  SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 700 AS INTEGER) AS part FROM items) GROUP BY part"""))
+def split_part_sizes(spark, sf):
+    """Parts of exactly 700 records: their sizes, id ranges and files."""
+    path = scratch_path(spark, "parts")
+    SK.split_files(items(spark, sf, with_text=False), path, rows_per_file=700, key="id")
+    back = RD.read_items(spark, path, fmt="json").withColumn("file", F.col("_metadata.file_path"))
+    return back.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+                                    F.countDistinct("file").cast("int").alias("files"))
+
+
 @query("vocabulary_roundtrip", W(
     f"dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY doc_id, term)",
     """stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dt GROUP BY term),
@@ -109,6 +121,34 @@ def vocabulary_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+def _documents(spark, sf):
+    """The stories as nested JSON lines, and a copy of each story's line without its end for every 350th item."""
+    path = scratch_path(spark, "documents")
+    docs = story_documents(items(spark, sf, with_text=False))
+    broken = docs.where(F.pmod("id", F.lit(350)) == 0).select(F.expr("substring(document, 1, length(document) - 3)").alias("value"))
+    docs.select(F.col("document").alias("value")).unionByName(broken).write.text(path)
+    return RD.read_thread_json(spark, path, lines=True)
+
+
+@query("thread_json", W(S.items_cte(), S.tree_cte("items", "(SELECT * FROM items WHERE type = 'story')"), body="""
+SELECT t.id, t.parent, t.depth, i.type, i.score, i."by", coalesce(i.dead, FALSE) AS dead
+FROM tree t JOIN items i ON i.id = t.id""", recursive=True))
+def thread_json(spark, sf):
+    """A1: the items written as nested story documents, one a line, and unrolled again."""
+    its, _ = _documents(spark, sf)
+    return its.select("id", "parent", "depth", "type", "score", "by", F.coalesce("dead", F.lit(False)).alias("dead"))
+
+
+@query("thread_json_rejects", W(S.items_cte(), body="""
+SELECT 'items' AS kind, count(*) AS n FROM items UNION ALL
+SELECT 'rejects' AS kind, count(*) AS n FROM items WHERE type = 'story' AND id % 350 = 0"""))
+def thread_json_rejects(spark, sf):
+    """A1: documents cut short are counted as rejects, each once."""
+    its, rejects = _documents(spark, sf)
+    count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(its, "items").unionByName(count(rejects, "rejects"))
+
+
 def _land(spark, sf, folder):
     """Two crawl rounds: every item, then the stories again (an overlapping re-fetch)."""
     rows = _item_rows(spark, sf)
@@ -127,6 +167,18 @@ def ingest_stream_q(spark, sf):
     return store.select("id", "type", "parent", F.md5("text").alias("text_md5"))
 
 
+@query("ingest_partitioned", W(S.items_cte(), body="""
+SELECT id, type, parent, CAST(id // 500 AS BIGINT) AS id_part, md5(text) AS text_md5 FROM items"""))
+def ingest_partitioned_q(spark, sf):
+    """H1 into a store partitioned by id range: two overlapping landings, run twice."""
+    base = scratch_path(spark, "ingest")
+    _land(spark, sf, f"{base}/landing")
+    for _ in range(2):
+        ingest_stream(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint", ids_per_part=500)
+    store = read_store(spark, f"{base}/store", ITEM, ids_per_part=500)
+    return store.select("id", "type", "parent", "id_part", F.md5("text").alias("text_md5"))
+
+
 _STORY_WORDS = W(S.items_cte(descendants=True), "story_roots AS (SELECT * FROM items WHERE type = 'story')",
                  S.tree_cte("items", "story_roots"), f"""story_terms AS (
   SELECT t.root_id, unnest({S.tokens_freq('i.text')}) AS term FROM tree t JOIN items i ON i.id = t.id

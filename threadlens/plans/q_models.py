@@ -11,6 +11,8 @@ from threadlens.operators import cluster as K
 from threadlens.operators import embed as WV
 from threadlens.operators import features as FT
 from threadlens.operators import metrics as M
+from threadlens.operators import neighbours as NB
+from threadlens.operators import similarity as SM
 from threadlens.operators import terms as E
 from threadlens.operators import topics as TP
 from threadlens.operators.ranking import top_k_per_group
@@ -72,8 +74,10 @@ pred AS (SELECT doc_id, label, class AS prediction FROM scores WHERE r = 1)""",
 
 def _nb(spark, sf):
     # fitting and scoring both read the token table: write it once
-    dt = _doc_terms(spark, sf)
-    parts = hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id")
+    return _nb_on(_doc_terms(spark, sf), hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id"))
+
+
+def _nb_on(dt, parts):
     train = parts.where(F.col("part") == "train")
     test = parts.where(F.col("part") == "test")
     model = G.nb_fit(dt, train, id_col="doc_id", label_col="lang")
@@ -119,6 +123,44 @@ def accuracy(spark, sf):
     return acc.select(F.round("accuracy", 6).alias("accuracy"), "n")
 
 
+_STEMMED = S.stemmed_grams_ctes("documents", "doc_id", "text")
+
+
+def _stemmed_parts(spark, sf):
+    dt = materialize(E.stemmed_grams(_docs(spark, sf).select("doc_id", "text"), ["doc_id"]), "stemmed_grams")
+    return dt, hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id")
+
+
+@query("stemmed_grams_top", W(_STEMMED, body="""
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dt GROUP BY term ORDER BY cf DESC, term LIMIT 500"""))
+def stemmed_grams_top(spark, sf):
+    """F2 + F9 + F7: the 500 commonest 1- to 3-grams of stems."""
+    dt = E.stemmed_grams(_docs(spark, sf).select("doc_id", "text"), ["doc_id"])
+    return E.doc_freq(dt).select("term", "df", "cf").orderBy(F.col("cf").desc(), F.col("term")).limit(500)
+
+
+@query("nb_stemmed_grams", _NB.replace(_DT, _STEMMED).replace("{body}", "SELECT doc_id, label, prediction FROM pred"))
+def nb_stemmed_grams(spark, sf):
+    """G2 behind the reference's features: 1- to 3-grams of stems, without a vocabulary on the driver."""
+    dt, parts = _stemmed_parts(spark, sf)
+    _, scored = _nb_on(dt, parts)
+    return scored.select("doc_id", "label", "prediction")
+
+
+@query("linear_hinge")
+def linear_hinge(spark, sf):
+    """G3 with the hinge loss over tf-idf rows of stemmed 1- to 3-grams: best class, its margin, and whether the label is in the top 3."""
+    dt, parts = _stemmed_parts(spark, sf)
+    train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
+    features = G.fit_features(dt.join(train.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    model = G.hinge_fit(G.feature_vectors(features, dt, train, "doc_id", "lang"))
+    scores = materialize(G.hinge_scores(model, G.feature_vectors(features, dt, test, "doc_id", "lang"), "doc_id"), "margins")
+    ranked = top_k_per_group(scores, ["id"], [F.col("score").desc(), F.col("class")], 3)
+    return ranked.groupBy(F.col("id").alias("doc_id")).agg(
+        F.first("label").alias("label"), F.max_by("class", F.struct("score", "class")).alias("prediction"), F.max("score").alias("margin"),
+        F.max((F.col("class") == F.col("label")).cast("int")).alias("in_top3"))
+
+
 # ---------------------------------------------------------------- G7 k-means assignment, C11, E12, G8
 _CENT = """cent AS (
   SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster, c
@@ -176,6 +218,52 @@ def cosine_to_centroids(spark, sf):
     return sims.select("vec_id", F.col("cluster").cast("int").alias("cluster"), F.round("cosine", 6).alias("cosine"))
 
 
+@query("similar_documents", W(_DT, """n AS (SELECT count(*) AS n FROM documents),
+st AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+w AS (SELECT dt.doc_id, dt.term, dt.tf * (ln((n.n + 1) / (st.df + 1)) + 1) AS w FROM dt JOIN st USING (term), n),
+u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
+c AS (SELECT a.doc_id AS query, b.doc_id AS id, round(sum(a.w * b.w), 9) AS cosine FROM u a JOIN u b USING (term)
+      WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.5)""", body="""
+SELECT query, id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM c) WHERE rank <= 10"""))
+def similar_documents(spark, sf):
+    """The 10 nearest documents (cosine 0.5 or more) of every document with an id divisible by 100, against all documents."""
+    index = SM.build_index(_doc_terms(spark, sf), "doc_id", n_docs=E.n_documents(_docs(spark, sf)))
+    found = SM.similar_documents(index, F.pmod("id", F.lit(100)) == 0, 0.5, 10)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
+def _embedding_queries(spark, sf):
+    rows = NB.unit_vectors(load(spark, sf, "embeddings"), "vec_id", "embedding")
+    return rows, rows.where(F.pmod("id", F.lit(100)) == 0)
+
+
+@query("nearest_vectors", W("""u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n) AS v FROM (
+  SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)),
+c AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_dot_product(a.v, b.v), 9) AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id
+      WHERE a.vec_id % 100 = 0)""", body="""
+SELECT query, id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM c) WHERE rank <= 10"""))
+def nearest_vectors(spark, sf):
+    """G8 (dense, exact): the 10 nearest embeddings of every ``vec_id`` divisible by 100, against all rows."""
+    rows, queries = _embedding_queries(spark, sf)
+    return NB.nearest_exact(rows, queries, 10).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("nearest_vectors_indexed")
+def nearest_vectors_indexed(spark, sf):
+    """G8 (dense): the same through the inverted-file index (approximate: as many cells are probed as a sample needs)."""
+    rows, queries = _embedding_queries(spark, sf)
+    return NB.nearest_indexed(NB.build_index(rows), queries, 10)
+
+
+@query("nearest_vectors_recall")
+def nearest_vectors_recall(spark, sf):
+    """The share of the exact 10 nearest embeddings that the index finds."""
+    rows, queries = _embedding_queries(spark, sf)
+    return NB.recall(NB.nearest_indexed(NB.build_index(rows), queries, 10), NB.nearest_exact(rows, queries, 10))
+
+
 # ---------------------------------------------------------------- MLlib models (rows-only checks)
 def _labelled_tokens(spark, sf, ngram_hi=1):
     docs = _docs(spark, sf).select("doc_id", "lang", T.tokens("text").alias("tokens"))
@@ -315,14 +403,14 @@ def cluster_terms(spark, sf):
     return K.centroid_terms(spark, model, vocab, 8)
 
 
-def _lda_model(spark, sf):
+def _lda_model(spark, sf, passes=100):
     """``(vectors, vocabulary, model)`` of every live titled story's thread; the corpus is assembled once."""
     from threadlens.plans.jobs import story_terms
     from threadlens.sources.fixtures import items
     st = materialize(story_terms(items(spark, sf)).withColumnRenamed("root_id", "id"), "story_terms")
     vocab = materialize(E.vocabulary(st, no_below=1, no_above=0.8, drop_top_n=30), "vocabulary")
     vecs = TP.bow_vectors(E.bag_of_words(st, vocab), vocab.count())
-    return vecs, vocab, TP.lda_fit(vecs, k=25, passes=100, chunk=7000)
+    return vecs, vocab, TP.lda_fit(vecs, k=25, passes=passes, chunk=7000)
 
 
 @query("lda_topics")
@@ -346,6 +434,30 @@ def tag_all_stories(spark, sf):
     return back.select("id", F.array_join("tag", "|").alias("tags"), F.size("tag").alias("n_tags"))
 
 
+@query("tag_stream")
+def tag_stream(spark, sf):
+    """G10 + A14 + H2: a saved topic model (10 passes) tags two overlapping landings of stories as a stream; each story's tags, and
+    whether they are those that the same model gives in batch."""
+    from threadlens.operators import filters as B
+    from threadlens.schema import ITEM
+    from threadlens.session import scratch_path
+    from threadlens.sources.fixtures import items
+    from threadlens.streaming.ingest import read_store
+    from threadlens.streaming.tagging import TAGS, tag_new_stories
+    base = scratch_path(spark, "tag_stream")
+    vecs, vocab, model = _lda_model(spark, sf, passes=10)
+    TP.save_topic_model(model, vocab, f"{base}/model", 1)
+    its, labels = items(spark, sf), TP.topic_labels(spark)
+    stories = B.stories(its.select(*[f.name if f.name in its.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ITEM.fields]))
+    for landed in (stories.where(F.pmod("id", F.lit(100)) == 0), stories):
+        landed.write.mode("append").json(f"{base}/landing")
+        tag_new_stories(spark, f"{base}/landing", its, f"{base}/tags", f"{base}/checkpoint", f"{base}/model", labels, ids_per_part=5000)
+    batch = TP.tag_documents(TP.best_topics(model, vecs, "id", 3, 0.01), labels, "id").select("id", F.col("tag").alias("batch_tag"))
+    tags = read_store(spark, f"{base}/tags", TAGS, ids_per_part=5000)
+    same = F.coalesce(F.col("tag") == F.col("batch_tag"), F.size("tag") == 0)
+    return tags.join(batch, "id", "left").select("id", F.array_join("tag", "|").alias("tags"), F.size("tag").alias("n_tags"), same.alias("same_as_batch"))
+
+
 # ---------------------------------------------------------------- §3.2 supervised category flow
 def _category_sql():
     toks = S.tokens("clean")

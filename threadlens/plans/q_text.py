@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
+from threadlens.functions.snowball import snowball_stems
 from threadlens.functions.stem import stem, stem_vocabulary
 from threadlens.operators import filters as B
 from threadlens.operators import metrics as M
 from threadlens.operators import ranking as R
 from threadlens.operators import sampling as D
+from threadlens.operators import sentences as SN
 from threadlens.operators import terms as E
 from threadlens.operators import threads as C
 from threadlens.plans import sqlparts as S
@@ -86,6 +88,22 @@ def split(spark, sf):
     return D.split(_docs(spark, sf), 0.7, 42, "doc_id").select("doc_id", "part")
 
 
+@query("sample_large", f"""
+SELECT event_id AS id FROM events ORDER BY {S.hash_key('event_id')}, event_id LIMIT (SELECT count(*) * 2 // 5 FROM events)""")
+def sample_large(spark, sf):
+    """D3 for a large n: two fifths of all items, exactly, by the key of the last one."""
+    its = items(spark, sf, with_text=False)
+    return D.sample_n(its.select("id"), its.count() * 2 // 5, 42, small=100)
+
+
+@query("split_exact", f"""
+SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {S.hash_key('doc_id')}, doc_id)
+       <= round(count(*) OVER (PARTITION BY lang) * 0.7) THEN 'train' ELSE 'test' END AS part FROM documents""")
+def split_exact(spark, sf):
+    """D6 with exact sizes: 70 % of each language's documents."""
+    return D.split_exact(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id", ["lang"])
+
+
 @query("fixed_samples", W(S.items_cte(descendants=True), body="""
 SELECT position, id FROM (
   SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM items
@@ -202,6 +220,26 @@ def nest_vocabulary(spark, sf):
                      ",").alias("vocabulary"))
 
 
+@query("vocabulary_parts", W(S.items_cte(descendants=True), _STORY_ROOTS,
+                             S.tree_cte("items", "story_roots"), f"""story_terms AS (
+  SELECT t.root_id, unnest({S.tokens_freq('i.text')}) AS term FROM tree t JOIN items i ON i.id = t.id
+  WHERE i.text IS NOT NULL AND NOT coalesce(i.dead, FALSE)),
+freq AS (SELECT root_id, term, count(*) AS freq FROM story_terms GROUP BY root_id, term),
+placed AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY freq DESC, term) - 1 AS n FROM freq)""", body="""
+SELECT f.root_id AS id, CAST(n // 500 AS INTEGER) AS part, count(*) AS n_words,
+       md5(string_agg(f.term || ':' || CAST(f.freq AS VARCHAR), ',' ORDER BY n)) AS vocabulary_md5
+FROM placed f GROUP BY f.root_id, n // 500""", recursive=True))
+def vocabulary_parts(spark, sf):
+    """A10 in rows of at most 500 words."""
+    from threadlens.sources.sinks import nest_vocabulary_parts
+    its = items(spark, sf, with_descendants=True)
+    st = B.min_descendants(its.where(F.col("type") == "story"), 0)
+    wf = E.word_freq(C.comment_corpus(its, st), ["root_id"], tokenizer=T.tokens_freq).withColumnRenamed("root_id", "id")
+    words = F.transform("vocabulary", lambda v: F.concat(v["word"], F.lit(":"), v["freq"].cast("string")))
+    return nest_vocabulary_parts(wf, st.select("id", "title"), 500).select(
+        "id", "part", F.size("vocabulary").cast("bigint").alias("n_words"), F.md5(F.array_join(words, ",")).alias("vocabulary_md5"))
+
+
 _DT = f"dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY doc_id, term)"
 
 
@@ -333,6 +371,12 @@ def stem_terms(spark, sf):
     return stem_vocabulary(_doc_terms(spark, sf))
 
 
+@query("snowball_terms", W(_DT, S.snowball_ctes("SELECT term FROM dt"), body="SELECT term, stem FROM stems"))
+def snowball_terms(spark, sf):
+    """the Snowball English stem of every distinct term."""
+    return snowball_stems(E.explode_tokens(_docs(spark, sf), []))
+
+
 @query("stem_to_word", f"""
 SELECT stem, arg_min(term, doc_id * 1000000 + pos) AS word FROM (
   SELECT doc_id, pos, term, {S.stem('term')} AS stem FROM (
@@ -347,6 +391,29 @@ def stem_to_word(spark, sf):
     return first.join(stems, "term").groupBy("stem").agg(F.min_by("term", "at").alias("word"))
 
 
+_SENTENCES = S.sentence_ctes("documents", "doc_id", "text")
+
+
+@query("sentence_counts", W(_SENTENCES, body="""
+SELECT doc_id, count(*) FILTER (WHERE ends) AS n_sentences,
+       md5(string_agg(piece || CASE WHEN ends THEN chr(10) ELSE ' ' END, '' ORDER BY pos)) AS sentences_md5
+FROM ended GROUP BY doc_id"""))
+def sentence_counts(spark, sf):
+    """each document's sentences, split by statistics of the whole corpus (documents with a word)."""
+    s = SN.split_sentences(_docs(spark, sf).select("doc_id", "text"), ["doc_id"])
+    lines = F.array_sort(F.collect_list(F.struct("sentence_no", "sentence")))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.md5(F.concat(
+        F.array_join(lines.getField("sentence"), "\n"), F.lit("\n"))).alias("sentences_md5"))
+
+
+@query("abbreviations", W(_SENTENCES, body=f"""
+SELECT type, dotted, plain, round(score, 3) AS score FROM abbr WHERE score >= {SN.ABBREVIATION}"""))
+def abbreviations(spark, sf):
+    """the types that look like abbreviations, with their counts with and without a period."""
+    found = SN.abbreviations(SN.chunks(_docs(spark, sf), ["doc_id"]))
+    return found.where(F.col("score") >= SN.ABBREVIATION).withColumn("score", F.round("score", 3))
+
+
 @query("title_tokens", W(IT, _LIVE_STORIES, body=f"""
 SELECT id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
 FROM (SELECT id, {S.tokens('title')} AS t FROM live_stories)"""))
