@@ -45,34 +45,35 @@ def integer_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """``id, x, uid``, stored: components c as floor(scale * c) + shift.
 
     Null vectors and those with a null, NaN or infinite entry are left out, and so are vectors of another length than the
-    commonest one (ties: the longer one) and empty ones.
+    commonest one (ties: the longer one) and empty ones. ``uid`` counts the rows of each part without gaps.
     """
     v = F.col(vector_col)
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    kept = vectors.where((F.size(v) > 0) & finite)
+    size = kept.groupBy(F.size(v).alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
     x = F.transform(v, lambda c: F.floor(c.cast("double") * scale) + shift)
-    rows = stored(vectors.where((F.size(v) > 0) & finite)
+    return stored(kept.where(F.size(v) == (size.dims if size else 0))
                   .select(F.col(id_col).alias("id"), x.alias("x"), F.monotonically_increasing_id().alias("uid")), "integers")
-    size = rows.groupBy(F.size("x").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
-    return rows if size is None else rows.where(F.size("x") == size.dims)
 
 
 def sums_of(rows: DataFrame) -> tuple[int, list[int]]:
-    """Row count and exact sums by dimension."""
+    """Row count and exact sums by dimension (in 64 bits where that holds them, else in decimals)."""
     first = rows.select(F.size("x").alias("d")).first()
-    dims = first.d if first else 0
-    n, *sums = rows.agg(F.count("*"), *[F.sum(F.col("x")[k].cast("decimal(38,0)")) for k in range(dims)]).first()
+    dims = [F.col("x")[k] for k in range(first.d if first else 0)]
+    n, *sums = rows.agg(F.count("*"), *[F.try_sum(x) for x in dims]).first()
+    if any(s is None for s in sums):
+        n, *sums = rows.agg(F.count("*"), *[F.sum(x.cast("decimal(38,0)")) for x in dims]).first()
     return n, [int(s) for s in sums]
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Add ``at``, the numbers 0, 1, ... without gaps, from ``uid`` (a part's number above 33 bits) and the sizes of the parts."""
+    """Add ``at``, the numbers 0, 1, ... without gaps: a row's place in its part (``uid`` below 33 bits) after the parts before it."""
     part = F.shiftright("uid", 33)
-    order = Window.partitionBy("part").orderBy("uid")
     sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    inside = rows.withColumn("part", part).withColumn("inside", F.row_number().over(order) - 1)
-    return inside.join(sizes, "part").withColumn("at", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+    placed = rows.withColumn("part", part).join(stored(sizes, "parts"), "part")      # one row for each part
+    return placed.withColumn("at", F.col("before") + F.col("uid").bitwiseAND((1 << 33) - 1)).drop("part", "before")
 
 
 def blocks_of(rows: DataFrame, n: int, sums: list[int]) -> BlockMatrix:
@@ -132,7 +133,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     shape = f"`{id_col}` {kind}, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
     if n == 0:
         return spark.createDataFrame([], shape)
-    rows = stored(numbered(rows), "numbered")
+    rows = numbered(rows)
     blocks = blocks_of(rows, n, sums)
     model = _fit(blocks, n, sums)
     used = int((model.values[:components] > FLAT * max(model.trace, 0.0)).sum()) if model.trace > 0 else 0
