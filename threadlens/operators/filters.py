@@ -54,13 +54,17 @@ def min_descendants(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("descendants") > n)
 
 
-def category_filter(df: DataFrame, allow: Iterable[str], cat_col: str = "subreddit",
+def category_filter(df: DataFrame, allow: Iterable[str] | DataFrame, cat_col: str = "subreddit",
                     body_col: str = "body", deleted_marker: str = "[deleted]") -> DataFrame:
     """Keep allow-listed categories and drop deleted bodies.
 
-    The allow-list is a short literal list, so the test compiles to a hash set
-    (``InSet``) inside the scan stage; no join at all.
+    A literal allow-list compiles to a hash set (``InSet``) inside the scan stage, without a join. One that is a table (its first
+    column, as :func:`readers.read_allowlist` returns it) is a semi-join, whatever its size.
     """
+    if isinstance(allow, DataFrame):
+        names = allow.select(F.col(allow.columns[0]).alias("_allowed"))
+        kept = df.where(F.col(body_col) != F.lit(deleted_marker))
+        return kept.join(names, kept[cat_col] == names["_allowed"], "left_semi")
     allow = list(allow)
     return df.where(F.col(cat_col).isin(allow) & (F.col(body_col) != F.lit(deleted_marker)))
 

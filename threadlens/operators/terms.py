@@ -59,7 +59,7 @@ def stemmed_tokens(df: DataFrame, keys: Sequence[str], text_col: str = "text",
                    tokenizer: Callable[[Column], Column] = default_tokens) -> DataFrame:
     """F2 + F9: ``(*keys, pos, stem)``. Each distinct term is stemmed once and joined back to its occurrences."""
     toks = materialize(explode_tokens(df, keys, text_col, tokenizer, with_position=True), "tokens")
-    stems = materialize(snowball_stems(toks), "stems")
+    stems = snowball_stems(toks)
     return toks.join(stems, "term").select(*keys, "pos", "stem")
 
 

@@ -227,10 +227,10 @@ def not_yet_processed(stories: DataFrame, done: DataFrame, done_col: str = "id")
 def pick_listed(items: DataFrame, ranked: DataFrame) -> DataFrame:
     """Items whose id appears in a ranked list ``(id, position)``, in list order.
 
-    The ranked list is a top-k list, so its size is bounded by k and it is broadcast.
+    A short list is broadcast by its measured size, a long one is not.
     """
     r = ranked.select(F.col("id").alias("_rid"), "position")
-    return (items.join(F.broadcast(r), items["id"] == r["_rid"], "inner")
+    return (items.join(r, items["id"] == r["_rid"], "inner")
                  .drop("_rid").orderBy("position"))
 
 
@@ -242,8 +242,9 @@ def thread_roots(items: DataFrame, *, prune: bool = True, live_mode: str = "fals
     distance to its pointer and whether any node from itself up to (excluding)
     its pointer is dead or deleted. Each round replaces the pointer by the
     pointer's pointer, adding distances and OR-ing the flags, until no pointer
-    moves. A node belongs to a pruned thread when nothing on its root path is
-    dead or deleted. Use it for deep threads, where the level loop would need
+    moves. A node whose pointer did not move points at its root and is settled: it is looked up
+    by others but joined no more, so the rows that all point at one root never meet in a join.
+    A node belongs to a pruned thread when nothing on its root path is dead or deleted. Use it for deep threads, where the level loop would need
     one round per level; it yields no ``path``. Nodes on a cycle never settle:
     after ``max_rounds`` (default ``ceil(log2 N) + 2``) it raises.
     """
@@ -260,9 +261,13 @@ def thread_roots(items: DataFrame, *, prune: bool = True, live_mode: str = "fals
         F.col("_bad").alias("bad")), "doubling")
     n = state.count()
     rounds = max_rounds or (int(math.ceil(math.log2(max(n, 2)))) + 2)
+    settled = [state.where(F.col("dist") == 0)]
+    state = state.where(F.col("dist") > 0)
     for _ in range(rounds):
-        hop = state.select(F.col("id").alias("_hid"), F.col("ptr").alias("_hptr"),
-                           F.col("dist").alias("_hdist"), F.col("bad").alias("_hbad"))
+        if state.isEmpty():
+            break
+        hop = reduce(lambda a, b: a.unionByName(b), [*settled, state]).select(
+            F.col("id").alias("_hid"), F.col("ptr").alias("_hptr"), F.col("dist").alias("_hdist"), F.col("bad").alias("_hbad"))
         nxt = materialize(
             state.join(hop, state["ptr"] == hop["_hid"], "inner").select(
                 "id", "parent", "type", F.col("_hptr").alias("ptr"),
@@ -270,16 +275,15 @@ def thread_roots(items: DataFrame, *, prune: bool = True, live_mode: str = "fals
                 (F.col("bad") | F.col("_hbad")).alias("bad"),
                 (F.col("_hptr") != F.col("ptr")).alias("_moved")), "doubling")
         # a node whose pointer reaches itself again with a distance travelled is on a cycle
-        moved, cyclic = nxt.agg(F.sum(F.col("_moved").cast("int")),
-                                F.sum(((F.col("ptr") == F.col("id")) & (F.col("dist") > 0)).cast("int"))).first()
+        cyclic = nxt.agg(F.sum(((F.col("ptr") == F.col("id")) & (F.col("dist") > 0)).cast("int"))).first()[0]
         if cyclic:
             raise ThreadCycleError("parent pointers form a cycle")
-        state = nxt.drop("_moved")
-        if not moved:
-            break
+        settled.append(nxt.where(~F.col("_moved")).drop("_moved"))
+        state = nxt.where("_moved").drop("_moved")
     else:
-        raise ThreadCycleError(f"pointers did not settle in {rounds} rounds (a cycle)")
-    out = state
+        if not state.isEmpty():
+            raise ThreadCycleError(f"pointers did not settle in {rounds} rounds (a cycle)")
+    out = state = reduce(lambda a, b: a.unionByName(b), settled)
     if story_roots:
         root_type = state.select(F.col("id").alias("_rid"), F.col("type").alias("_rtype"))
         out = out.join(root_type, out["ptr"] == root_type["_rid"], "inner").where(F.col("_rtype") == "story")

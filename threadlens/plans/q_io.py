@@ -6,6 +6,7 @@ Each query writes data derived from the driver tables into a fresh folder under
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -67,6 +68,16 @@ def counts_csv(spark, sf):
     return RD.read_allowlist(spark, path)
 
 
+@query("counts_csv_rows", "SELECT source AS name, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, source) AS place FROM documents GROUP BY source")
+def counts_csv_rows(spark, sf):
+    """E3 + A8: the counts as written, each with its place in the files (which follow each other in descending order)."""
+    path = scratch_path(spark, "counts")
+    SK.write_counts(M.category_counts(load(spark, sf, "documents"), "source"), path, "source")
+    rows = spark.read.schema("name string, n long").csv(path).select("name", "n", "_metadata.file_name", F.monotonically_increasing_id().alias("at"))
+    order = Window.orderBy("file_name", "at")          # one row for each category
+    return rows.select("name", "n", F.row_number().over(order).cast("long").alias("place"))
+
+
 @query("comments_jsonl", """
 SELECT source AS subreddit, count(*) AS n FROM documents GROUP BY source
 UNION ALL SELECT '<rejects>' AS subreddit, count(*) AS n FROM documents WHERE lang = 'de'""")

@@ -92,6 +92,18 @@ def single_reply_comments(spark, sf):
     return B.single_reply_comments(items(spark, sf, with_text=False, with_kids=True)).select("id", "parent")
 
 
+@query("single_live_reply", W(S.items_cte(), f"live AS (SELECT * FROM items WHERE {S.LIVE})", body="""
+SELECT c.id, c.parent FROM live c WHERE c.type = 'comment' AND c.parent IN (SELECT id FROM live WHERE type = 'story')
+  AND (SELECT count(*) FROM live k WHERE k.parent = c.id) = 1"""))
+def single_live_reply(spark, sf):
+    """B1 + B10: first-level comments with exactly one kid among the live items (whose ``kids`` are drawn anew)."""
+    live = B.live(items(spark, sf, with_text=False))
+    kids = live.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("_p")).agg(
+        F.when(F.count("id") == 1, F.array(F.min("id"))).otherwise(F.array(F.min("id"), F.max("id"))).alias("kids"))      # the first and the last
+    linked = live.join(kids, live["id"] == kids["_p"], "left").drop("_p")
+    return B.single_reply_comments(linked).select("id", "parent")
+
+
 @query("admit_kids", W(S.items_cte(kids=True), body="""
 SELECT p.id AS parent, k.kid FROM items p, unnest(p.kids) AS k(kid)
 JOIN items c ON c.id = k.kid

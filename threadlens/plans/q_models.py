@@ -131,6 +131,12 @@ def _stemmed_parts(spark, sf):
     return dt, hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id")
 
 
+def _train_test(dt, parts):
+    """The labels of both parts, and the vocabulary and weights of the training documents."""
+    train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
+    return train, test, G.fit_features(dt.join(train.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+
+
 @query("stemmed_grams_top", W(_STEMMED, body="""
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dt GROUP BY term ORDER BY cf DESC, term LIMIT 500"""))
 def stemmed_grams_top(spark, sf):
@@ -151,10 +157,9 @@ def nb_stemmed_grams(spark, sf):
 def linear_hinge(spark, sf):
     """G3 with the hinge loss over tf-idf rows of stemmed 1- to 3-grams: best class, its margin, and whether the label is in the top 3."""
     dt, parts = _stemmed_parts(spark, sf)
-    train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
-    features = G.fit_features(dt.join(train.select("doc_id"), "doc_id", "left_semi"), "doc_id")
-    model = G.hinge_fit(G.feature_vectors(features, dt, train, "doc_id", "lang"))
-    scores = materialize(G.hinge_scores(model, G.feature_vectors(features, dt, test, "doc_id", "lang"), "doc_id"), "margins")
+    train, test, features = _train_test(dt, parts)
+    model = G.fit_classes(G.feature_vectors(features, dt, train, "doc_id", "lang"), G.hinge())
+    scores = materialize(G.all_scores(model, G.feature_vectors(features, dt, test, "doc_id", "lang"), "doc_id", "rawPrediction"), "margins")
     ranked = top_k_per_group(scores, ["id"], [F.col("score").desc(), F.col("class")], 3)
     return ranked.groupBy(F.col("id").alias("doc_id")).agg(
         F.first("label").alias("label"), F.max_by("class", F.struct("score", "class")).alias("prediction"), F.max("score").alias("margin"),
@@ -265,35 +270,32 @@ def nearest_vectors_recall(spark, sf):
 
 
 # ---------------------------------------------------------------- MLlib models (rows-only checks)
-def _labelled_tokens(spark, sf, ngram_hi=1):
-    docs = _docs(spark, sf).select("doc_id", "lang", T.tokens("text").alias("tokens"))
-    if ngram_hi > 1:
-        docs = docs.withColumn("tokens", T.ngrams_range(F.col("tokens"), 1, ngram_hi))
-    return materialize(hash_split(docs, 0.7, 42, "doc_id"))
-
-
 @query("nb_ml")
 def nb_ml(spark, sf):
-    """G2 (MLlib) with A14: the fitted pipeline is saved, loaded back, and the loaded copy scores."""
-    from pyspark.ml import PipelineModel
+    """G2 (MLlib) with A14: the fitted model is saved, loaded back, and the loaded copy scores."""
+    from pyspark.ml.classification import NaiveBayesModel
     from threadlens.session import scratch_path
     from threadlens.sources.sinks import save_model
-    parts = _labelled_tokens(spark, sf)
-    fitted = G.ml_naive_bayes("lang").fit(parts.where(F.col("part") == "train"))
+    dt = _doc_terms(spark, sf)
+    train, test, features = _train_test(dt, hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id"))
+    fitted = G.fit_classes(G.feature_vectors(features, dt, train, "doc_id", "lang", counts=True), G.multinomial())
     path = scratch_path(spark, "nb_model")
-    save_model(fitted, path)
-    model = PipelineModel.load(path)
-    pred = G.label_names(model, model.transform(parts.where(F.col("part") == "test")))
-    return pred.select("doc_id", F.col("lang").alias("label"), F.col("predicted_label").alias("prediction"))
+    save_model(fitted.model, path)
+    loaded = G.ClassModel(fitted.classes, NaiveBayesModel.load(path))
+    scores = G.all_scores(loaded, G.feature_vectors(features, dt, test, "doc_id", "lang", counts=True), "doc_id", "rawPrediction")
+    best = F.max_by("class", F.struct("score", "class"))
+    return scores.groupBy(F.col("id").alias("doc_id")).agg(F.first("label").alias("label"), best.alias("prediction"))
 
 
 @query("linear_ml")
 def linear_ml(spark, sf):
     """G3 + E10: tf-idf of 1-3-grams → logistic regression, the label's rank and probability among the classes."""
-    parts = _labelled_tokens(spark, sf, ngram_hi=3)
-    model = G.ml_linear("lang").fit(parts.where(F.col("part") == "train"))
-    scored = model.transform(parts.where(F.col("part") == "test"))
-    long = materialize(G.class_scores(model, scored, "doc_id", "lang"), "class_scores")
+    toks = _docs(spark, sf).select("doc_id", T.tokens("text").alias("t"))
+    dt = materialize(toks.select("doc_id", F.explode(T.ngrams_range("t", 1, 3)).alias("term"))
+                     .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "grams")
+    train, test, features = _train_test(dt, hash_split(_docs(spark, sf).select("doc_id", "lang"), 0.7, 42, "doc_id"))
+    model = G.fit_classes(G.feature_vectors(features, dt, train, "doc_id", "lang"), G.log_loss())
+    long = materialize(G.all_scores(model, G.feature_vectors(features, dt, test, "doc_id", "lang"), "doc_id"), "class_scores")
     ranked = top_k_per_group(long, ["id"], [F.col("score").desc(), F.col("class")], 3)
     return ranked.groupBy("id").agg(
         F.first("label").alias("label"), F.max_by("class", "score").alias("prediction"),
@@ -403,6 +405,25 @@ def cluster_terms(spark, sf):
     return K.centroid_terms(spark, model, vocab, 8)
 
 
+@query("cluster_stories")
+def cluster_stories(spark, sf):
+    """G1 + G7 + G12 over stemmed features: 8 clusters of stories, each with its 8 heaviest terms as surface words (a gram by its
+    first word) and 10 titles."""
+    its, leaves = _leaf_docs(spark, sf)
+    leaves = materialize(leaves.select("root_id", "id", "part", "text"), "leaves")
+    toks = materialize(E.explode_tokens(leaves, ["root_id", "id", "part"], tokenizer=lambda c: T.tokens_alpha(F.lower(c)), with_position=True), "tokens")
+    grams = E.stemmed_grams(leaves, ["root_id", "id", "part"], tokenizer=lambda c: T.tokens_alpha(F.lower(c)))
+    dt = materialize(grams.groupBy("root_id", "term").agg(F.sum("tf").alias("tf")), "grams")
+    w = materialize(FT.tfidf(dt, "root_id", min_df=0.1, max_df=0.9, max_features=200_000))
+    vocab = materialize(E.numbered(w.select("term").distinct(), [F.col("term")], "term_id"))
+    vecs = FT.to_sparse(w.join(vocab, "term").select("root_id", "term_id", "weight"), "root_id", "term_id", "weight", vocab.count())
+    model, assigned = K.kmeans_fit(vecs, "features", k=8, seed=42)
+    heavy = K.centroid_terms(spark, model, vocab, 8)
+    words = K.surface_words(heavy, toks.select("term", F.struct("root_id", "part", "id", "pos").alias("at")))
+    titles = its.where(F.col("type") == "story").select(F.col("id").alias("root_id"), "title")
+    return K.cluster_summary(words, K.sample_titles(assigned, titles, "root_id", 10))
+
+
 def _lda_model(spark, sf, passes=100):
     """``(vectors, vocabulary, model)`` of every live titled story's thread; the corpus is assembled once."""
     from threadlens.plans.jobs import story_terms

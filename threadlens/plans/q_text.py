@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
 from threadlens.functions.snowball import snowball_stems
-from threadlens.functions.stem import stem, stem_vocabulary
+from threadlens.functions.stem import stem_vocabulary
 from threadlens.operators import filters as B
 from threadlens.operators import metrics as M
 from threadlens.operators import ranking as R
@@ -252,7 +252,8 @@ def _doc_terms(spark, sf):
 SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)), 4) AS idf
 FROM dt GROUP BY term"""))
 def idf_documents(spark, sf):
-    return E.idf(_doc_terms(spark, sf), "doc_id", n_docs=E.n_documents(_docs(spark, sf)))
+    dt = E.term_frequencies(_docs(spark, sf), ["doc_id"])        # read once: not worth a table
+    return E.idf(dt, "doc_id", n_docs=E.n_documents(_docs(spark, sf)))
 
 
 _VOCAB = """stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dt GROUP BY term),
@@ -282,7 +283,7 @@ def bag_of_words(spark, sf):
 
 @query("token_totals", W(_DT, body="SELECT CAST(sum(tf) AS BIGINT) AS n_tokens, count(DISTINCT term) AS n_terms FROM dt"))
 def token_totals(spark, sf):
-    return E.token_totals(_doc_terms(spark, sf))
+    return E.token_totals(E.term_frequencies(_docs(spark, sf), ["doc_id"]))
 
 
 @query("all_comments", W(S.items_cte(descendants=True), _STORY_ROOTS, S.tree_cte("items", "story_roots"), body="""
@@ -329,10 +330,14 @@ SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5,
        md5(array_to_string(list_transform(t, lambda x: {S.stem('lower(x)')}), ' ')) AS stems_md5
 FROM (SELECT doc_id, {S.tokens_alpha('text')} AS t FROM documents)""")
 def tokenize_alpha(spark, sf):
-    t = T.tokens_alpha("text")
-    stems = F.transform(t, lambda x: stem(F.lower(x)))
-    return _docs(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), _joined(t).alias("tokens_md5"),
-                                   _joined(stems).alias("stems_md5"))
+    docs = _docs(spark, sf).select("doc_id", T.tokens_alpha("text").alias("t"))
+    docs = materialize(docs, "tokens")
+    toks = docs.select("doc_id", F.posexplode("t").alias("pos", "word")).withColumn("term", F.lower("word"))
+    stems = toks.join(stem_vocabulary(toks), "term").groupBy("doc_id") \
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("s"))      # one text's words
+    own = F.coalesce(F.col("s.stem"), F.array().cast("array<string>"))
+    return docs.join(stems, "doc_id", "left").select("doc_id", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens_md5"),
+                                                     _joined(own).alias("stems_md5"))
 
 
 @query("unescape_html", f"SELECT page_id, md5({S.unescape('html')}) AS html_md5 FROM pages")
@@ -368,7 +373,7 @@ def ngrams_top(spark, sf):
 
 @query("stem_terms", W(_DT, body=f"SELECT term, {S.stem('term')} AS stem FROM (SELECT DISTINCT term FROM dt)"))
 def stem_terms(spark, sf):
-    return stem_vocabulary(_doc_terms(spark, sf))
+    return stem_vocabulary(E.explode_tokens(_docs(spark, sf), []))
 
 
 @query("snowball_terms", W(_DT, S.snowball_ctes("SELECT term FROM dt"), body="SELECT term, stem FROM stems"))
