@@ -172,6 +172,38 @@ def test_near_duplicates_with_other_repeat_counts(spark):
     assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()} == want
 
 
+def test_borderline_copies_equal_brute_force(spark, monkeypatch):
+    """Copies with few and many edits, near the base, near each other only, or near none: few hubs are tried, the rest is searched."""
+    monkeypatch.setattr(probminhash, "HUB_ROUNDS", 1)
+    base = [f"b{j}" for j in range(200)]
+
+    def copy(k, edits, also=()):
+        w = list(base)
+        for j in range(edits):
+            w[(13 * k + 17 * j) % 200] = f"e{k}x{j}"
+        for j in also:
+            w[j] = f"shared{j}"
+        return " ".join(w)
+
+    texts = [(k, copy(k, k % 12)) for k in range(60)] + [(100 + k, copy(100 + k, k % 3, range(5, 200, 9))) for k in range(8)]
+    texts += [(200 + k, copy(200 + k, 30)) for k in range(6)] + [(300 + k, copy(300, 14) + f" tail{k}") for k in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    want = brute_classes(texts)
+    assert len(set(want.values())) > 5
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()} == want
+    kept = probminhash.keep_one(docs.unionByName(docs.limit(3))).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+
+
+def test_filter_holds_every_key(spark):
+    from threadlens.llm.common import maybe_in
+
+    few = spark.range(0, 3000, 3).unionByName(spark.createDataFrame([(None,)], "id long"))
+    hit = {r.id for r in spark.range(100_000).where(maybe_in(few, "id", F.col("id"))).collect()}
+    assert set(range(0, 3000, 3)) <= hit and len(hit) < 1020
+    assert spark.range(1000).where(maybe_in(few.limit(0), "id", F.col("id"))).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark, clashing, empty, odd_rows):
     out = probminhash.near_duplicates(clashing).collect()
     assert len(out) == len(odd_rows)

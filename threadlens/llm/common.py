@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +54,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_texts(column) -> tuple["np.ndarray", "np.ndarray"]:
+#: Bits of a filter that tells which keys may be in a table: 8 MB, whatever the table's size.
+FILTER_BITS = 1 << 26
+
+
+def _places(key: Column) -> list[Column]:
+    """Two places of a key in the filter, from the low and the high bits of its hash."""
+    h = F.xxhash64(key)
+    return [h.bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned(h, 32).bitwiseAND(FILTER_BITS - 1)]
+
+
+def maybe_in(table: DataFrame, column: str, key: Column) -> Column:
+    """A condition that holds for every ``key`` in ``table``'s column, and for few others while the table has up to some million keys.
+
+    The filter is put together on the executors; the driver gets its words (at most 2^20), and each task the same 8 MB. In a
+    table of many more keys it lets more rows through, which costs time but no row: an exact join has to follow.
+    """
+    spark = table.sparkSession
+    places = table.select(F.explode(F.array(*_places(F.col(column)))).alias("p"))
+    one = F.expr("shiftleft(1L, CAST(p & 63 AS INT))")
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
+        own, x, y = sent.value, a.to_numpy(), b.to_numpy()
+        return pd.Series((own[x >> 6] >> (x & 63) & 1 & (own[y >> 6] >> (y & 63))) == 1)
+
+    return held(*_places(key))
+
+
+def arrow_texts(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of an Arrow string column, without a copy of the bytes (null: empty)."""
-    import numpy as np
     import pyarrow as pa
 
     if isinstance(column, pa.ChunkedArray):
@@ -71,10 +104,8 @@ def arrow_texts(column) -> tuple["np.ndarray", "np.ndarray"]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def row_blocks(offsets: "np.ndarray", most: int):
+def row_blocks(offsets: np.ndarray, most: int):
     """Ranges of rows of at most ``most`` bytes together (a longer row stands alone)."""
-    import numpy as np
-
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1

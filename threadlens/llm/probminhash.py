@@ -8,9 +8,10 @@ so that documents which differ in how often a passage occurs meet too. A shingle
 
 Texts with the same words are copies and form one node. Nodes that share a band of registers are candidates. In
 each bucket of more than a few nodes all are compared with one hub, not with each other. Jaccard distance is a metric, so a node with a
-similarity under 0.6 to the hub has no partner of 0.8 among the nodes that have 0.8 to the hub; nodes between
-0.6 and 0.8 are compared with those, unless a common neighbour joins them already, and the nodes that the hub did not take go on with the next hub. So no
-link between candidates is lost.
+similarity under 0.6 to the hub has no partner of 0.8 among the nodes that have 0.8 to the hub; nodes that the hub did not take go on
+with the next hub. What may still lack a link after the hub rounds (nodes between 0.6 and 0.8 to a hub, and those left in a bucket) is
+searched among all nodes by an exact prefix filter: two sets with a similarity of 0.8 share one of the rarest fifth of both's shingles.
+So no link between candidates is lost, and no bucket is compared with itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm import words
-from threadlens.llm.common import arrow_texts, row_blocks, stored
+from threadlens.llm.common import arrow_texts, maybe_in, row_blocks, stored
 from threadlens.llm.graph import components
 
 SHINGLE = 5
@@ -32,10 +33,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Nodes of a bucket that are compared with each other at once; more have hubs.
 FEW = 4
-#: Nodes that a hub took which its borderline nodes meet before all others.
-FIRST = 8
-#: Hubs tried in a bucket before its remaining nodes are compared with each other.
-HUB_ROUNDS = 4
+#: Hubs tried in a bucket before the rest is searched by the prefix filter.
+HUB_ROUNDS = 2
 _U = np.uint64
 _BLOCK = 1_500_000
 
@@ -170,14 +169,6 @@ def _labels(links: DataFrame, degree: DataFrame) -> DataFrame:
     return label.join(label.toDF("label", "far"), "label").select("node", F.col("far").alias("label"))
 
 
-def _apart(edge: DataFrame, links: DataFrame, degree: DataFrame) -> DataFrame:
-    """Rows of ``edge`` (``bucket, b, y``) whose ``y`` and hub ``b`` have different labels."""
-    label = _labels(links, degree)
-    of = lambda c: label.withColumnsRenamed({"node": c, "label": f"of_{c}"})
-    both = edge.join(of("y"), "y", "left").join(of("b"), "b", "left")
-    return both.where("of_y IS NULL OR of_b IS NULL OR of_y != of_b").select("bucket", "b", "y")
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """``doc_id, class_id`` for every row of ``docs`` (``doc_id, text``): rows of a class are joined by copies and links.
@@ -188,74 +179,112 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sketched = stored(sketch(docs, bands, rows, shingle), "sketch")
-    found = _links(docs, sketched, similarity, shingle)
-    labels = components(found)
+    labels = _components(docs, sketched, similarity, shingle)
     named = (sketched.select("doc_id", "node").join(labels, "node", "left")
              .select("doc_id", F.coalesce("label", "node").alias("label")))
     classes = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(classes, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _links(docs: DataFrame, sketched: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Verified links (``a, b``) that join all candidates of a class."""
+def _components(docs: DataFrame, sketched: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``node, label`` of every node with a link: those that verified links join have the same label."""
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("one"))
     members = nodes.select("node", F.col("one.doc_id").alias("doc_id"), F.explode("one.bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(sizes, "bucket"), "shared")
     # the node that meets the most others is the best hub
     degree = stored(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
-    left = stored(shared.select("bucket", "n", "node", F.col("node").alias("label")).join(degree, "node"), "left")
-    wanted = shared.select("doc_id").distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = stored(shingle_sets(texts, shingle).dropDuplicates(["node"]), "sets")
-    known = None  # similarities found so far
-    for k in range(HUB_ROUNDS + 1):
-        most = FEW if k < HUB_ROUNDS else 1 << 62  # after many hubs the exact way for the rest: every pair
-        few, many = left.where(F.col("n") <= most), left.where(F.col("n") > most)
+    wanted = stored(shared.select("doc_id").distinct(), "wanted")
+    # texts stay where they are: a filter of bounded size picks them, and only shingle sets are shuffled
+    sets = shingle_sets(docs.where(maybe_in(wanted, "doc_id", F.col("doc_id"))), shingle).dropDuplicates(["node"])
+    sets = stored(sets.join(degree.select("node"), "node", "left_semi"), "sets")
+    left = shared.select("bucket", "n", "node")
+    links, owed = [], []
+    for _ in range(HUB_ROUNDS):
+        few, many = left.where(F.col("n") <= FEW), left.where(F.col("n") > FEW).join(degree, "node")
         hubs = many.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("b"))
-        star = many.join(hubs, "bucket").select("bucket", F.col("node").alias("a"), "b", F.lit(True).alias("hub")).where("a != b")
-        each = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("of_a")) \
-                  .join(few.select("bucket", F.col("node").alias("b"), F.col("label").alias("of_b")), "bucket") \
-                  .where("a < b AND of_a != of_b").select("bucket", "a", "b", F.lit(False).alias("hub"))
-        star = stored(star.unionByName(each), "star")
-        pairs = star.select("a", "b").distinct()
-        known = stored(_similar(pairs, sets) if known is None else known.unionByName(
-            _similar(pairs.join(known, ["a", "b"], "left_anti"), sets)), "known")
-        judged = stored(star.where("hub").join(known, ["a", "b"]), "judged")
-        if judged.isEmpty():
-            break
-        # nodes between the two similarities meet those that the hub took: first the few that meet most others,
-        # then, where no common neighbour joins them to the hub by now, all of them
-        edge = judged.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1)) \
-                     .select("bucket", "b", F.col("a").alias("y"))
-        taken = judged.where(F.col("similarity") >= similarity).select("bucket", "b", F.col("a").alias("x"))
-        rank = F.row_number().over(Window.partitionBy("bucket", "b").orderBy(F.desc("degree"), "x"))
-        best = taken.join(degree.withColumnRenamed("node", "x"), "x").withColumn("rank", rank).where(F.col("rank") <= FIRST)
-        for some in (best.select("bucket", "b", "x"), taken):
-            more = _apart(edge, known.where(F.col("similarity") >= similarity), degree).join(some, ["bucket", "b"])
-            more = more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-            more = stored(more, "more")
-            if not more.isEmpty():
-                known = stored(known.unionByName(_similar(more, sets)), "known")
+        star = stored(many.join(hubs, "bucket").select("bucket", F.col("node").alias("a"), "b").where("a != b"), "star")
+        each = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b")
+        pairs = star.select("a", "b").union(each.select("a", "b")).distinct()
+        judged = stored(_similar(pairs, sets), "judged")
+        links.append(judged.where(F.col("similarity") >= similarity).select("a", "b"))
+        missed = star.join(judged.where(F.col("similarity") < similarity), ["a", "b"])
+        owed.append(judged.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1))
+                    .join(star.select("a", "b").distinct(), ["a", "b"], "left_semi").select(F.col("a").alias("node"), F.col("b").alias("hub")))
         # nodes that no hub took go on, without the hub, in buckets where they are not all joined by now
-        label = _labels(known.where(F.col("similarity") >= similarity), degree)
-        rest = judged.where(F.col("similarity") < similarity).select("bucket", F.col("a").alias("node")) \
-                     .join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        label = stored(_labels(_all(links), degree), "label")
+        rest = stored(missed.select("bucket", F.col("a").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
         open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        left = stored(rest.join(open_.select("bucket", "n"), "bucket").join(degree, "node")
-                      .select("bucket", "n", "node", "label", "degree"), "left")
-    return known.where(F.col("similarity") >= similarity).select("a", "b")
+        left = stored(rest.join(open_.select("bucket", "n"), "bucket").select("bucket", "n", "node"), "left")
+        if left.isEmpty():
+            break
+    label = components(_all(links))
+    of = lambda c: label.withColumnsRenamed({"node": c, "label": f"of_{c}"})
+    # a node near a hub may be nearer to one that the hub took, unless links join it to the hub by now
+    lone = _all(owed).distinct().join(of("node"), "node", "left").join(of("hub"), "hub", "left")
+    lone = lone.where("of_node IS NULL OR of_hub IS NULL OR of_node != of_hub").select("node")
+    # and the nodes of a bucket that are left may have links among themselves, unless they are all joined
+    rest = left.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    lone = stored(lone.union(rest.join(open_, "bucket").select("node")).distinct(), "lone")
+    if lone.isEmpty():
+        return label
+    pairs = _prefix_pairs(lone, sets, label, similarity)
+    more = stored(_similar(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b"), "more")
+    return _joined(label, more)
+
+
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """``label`` (``node, label``) after the links ``more`` (``a, b``): components of the labels, which are far fewer than the nodes."""
+    of = lambda c: label.withColumnsRenamed({"node": c, "label": f"of_{c}"})
+    name = lambda c: F.coalesce(f"of_{c}", c).alias(c)
+    far = components(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(name("a"), name("b"))) \
+        .select(F.col("node").alias("label"), F.col("label").alias("far"))
+    fresh = more.select("a").union(more.select("b")).toDF("node").distinct().join(label, "node", "left_anti")
+    nodes = label.union(fresh.select("node", F.col("node").alias("label")))
+    return nodes.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _prefix_pairs(lone: DataFrame, sets: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: each node ``a`` of ``lone`` with every node ``b`` of another label whose similarity can reach the threshold.
+
+    Shingles are ordered by the number of nodes that have them. All but ``similarity`` of a set and one more are its prefix: two
+    sets that are similar share a shingle of both prefixes, and from the first one that they share on both have enough left. So a passage that
+    many texts have is posted only where a text has little else, and shingles of one text alone are never posted.
+    """
+    flat = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    df = flat.groupBy("s").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
+    needed = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    prefix = flat.join(df, "s").withColumn("place", place).where((F.col("place") <= needed) & (F.col("df") > 1))
+    prefix = stored(prefix.join(label, "node", "left").select("node", "s", "size", "place", F.coalesce("label", "node").alias("label")), "prefix")
+    met = prefix.withColumnsRenamed({"node": "b", "size": "size_b", "place": "place_b", "label": "label_b"})
+    probe = prefix.join(lone, "node").withColumnsRenamed({"node": "a", "size": "size_a", "place": "place_a", "label": "label_a"})
+    overlap = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    left = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    fits = (left >= overlap) & (F.least("size_a", "size_b") >= (similarity - 1e-9) * F.greatest("size_a", "size_b"))
+    return stored(probe.join(met, "s").where(fits & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct(), "met")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the document with the smallest id, once.
 
-    Columns and rows are otherwise as they came; rows without words all stay.
+    Columns and rows are otherwise as they came; rows without words all stay. A document that is the only row of its id and stays
+    is kept where it is; only the others, and the few that a filter of bounded size cannot tell from them, are shuffled.
     """
-    classes = near_duplicates(docs, **options)
-    kept = (classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = stored(kept, "kept")
+    classes = stored(near_duplicates(docs, **options), "classes")
+    same_id = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    ids = stored(classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count(F.when(same_id, True)).alias("n")), "ids")
+    odd = maybe_in(ids.where("rows > 1 OR n = 0").select("doc_id"), "doc_id", F.col("doc_id"))
+    kept = ids.where("n > 0")
     once, often = kept.where("n = 1"), kept.where("n > 1")
-    part = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    part = lambda ids: docs.where(odd).join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     same = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    return part(once).unionByName(part(often).dropDuplicates(same))
+    return docs.where(~odd).unionByName(part(once)).unionByName(part(often).dropDuplicates(same))
