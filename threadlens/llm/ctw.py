@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import words
-from threadlens.llm.common import arrow_texts, row_blocks, stored
+from threadlens.llm.common import arrow_texts, row_blocks, spare, stored
 
 DEPTH = 6
 #: Words with at least 1 in ``HOT`` of all training tokens are looked up in the worker (at most ``HOT`` of them exist).
@@ -340,6 +340,7 @@ def score(docs: DataFrame, model: tuple[Whole | Tree, DataFrame], text: str = "t
     whole = tree if isinstance(tree, Whole) else None
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
     docs = docs.drop(*[c for c in new if c != text])
+    *names, uid, more, found, deep = spare(docs, "_tokens", "_known", "_logs", "_score", "_bytes", "_rare", "_seldom", "_uid", "_more", "_found", "_deep")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = counts.where(F.col("n") * HOT >= total).toPandas().sort_values("key")
     spark, rest = docs.sparkSession, [f for f in docs.schema.fields if f.name != text]
@@ -377,23 +378,23 @@ def score(docs: DataFrame, model: tuple[Whole | Tree, DataFrame], text: str = "t
                      pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(seldom))],
                     names=[*(c for k, c in enumerate(batch.schema.names) if k != at), *names])
 
-    names = ["_tokens", "_known", "_logs", "_score", "_bytes", "_rare", "_seldom"]
     kinds_of = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
     schema = T.StructType(rest + [T.StructField(c, k) for c, k in zip(names, kinds_of)])
-    first = stored(docs.mapInArrow(run, schema).withColumn("_uid", F.monotonically_increasing_id()), "scores")
-    rare = first.select("_uid", F.explode("_rare").alias("key"))
+    n_words, n_known, logs, tree_log, size, rare_keys, seldom_keys = names
+    first = stored(docs.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "scores")
+    rare = first.select(uid, F.explode(rare_keys).alias("key"))
     met = (rare.join(counts.where(F.col("n") * HOT < total), "key")
-           .groupBy("_uid").agg(F.sum(F.log10(F.col("n") + 1)).alias("_more"), F.count("*").alias("_found")))
-    scored = first.join(met, "_uid", "left")
+           .groupBy(uid).agg(F.sum(F.log10(F.col("n") + 1)).alias(more), F.count("*").alias(found)))
+    scored = first.join(met, uid, "left")
     if whole is not None:
-        seldom = first.select("_uid", F.explode("_seldom").alias("key"))
+        seldom = first.select(uid, F.explode(seldom_keys).alias("key"))
         fresh = stored(seldom.select("key").distinct().join(whole.grams.select("key"), "key", "left_anti"), "fresh")
         every = whole.grams.where(F.col("n") * HOT_GRAMS < length).select("key", "log").unionByName(_answers(fresh, whole.levels))
-        scored = (scored.join(seldom.join(every, "key").groupBy("_uid").agg(F.sum("log").alias("_deep")), "_uid", "left")
-                  .withColumn("_score", F.col("_score") + F.coalesce("_deep", F.lit(0.0))))
+        scored = (scored.join(seldom.join(every, "key").groupBy(uid).agg(F.sum("log").alias(deep)), uid, "left")
+                  .withColumn(tree_log, F.col(tree_log) + F.coalesce(deep, F.lit(0.0))))
     return scored.select(
-        *[f.name for f in rest], F.col("_tokens").alias("n_tokens"), (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
+        *[f.name for f in rest], F.col(n_words).alias("n_tokens"), (F.col(n_known) + F.coalesce(found, F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("_logs") + F.coalesce("_more", F.lit(0.0)) - F.col("_tokens") * F.lit(log_all)).alias("base_score"),
-        F.col("_score").alias("score"), F.col("_bytes").alias("n_bytes"),
-        (-F.col("_score") / (F.col("_bytes") * math.log10(2))).alias("bits_per_byte"))
+        (F.col(logs) + F.coalesce(more, F.lit(0.0)) - F.col(n_words) * F.lit(log_all)).alias("base_score"),
+        F.col(tree_log).alias("score"), F.col(size).alias("n_bytes"),
+        (-F.col(tree_log) / (F.col(size) * math.log10(2))).alias("bits_per_byte"))
