@@ -24,9 +24,15 @@ def test_encoder_equals_library(path, text):
     assert enc.encode(text) == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("path", ENCODERS)
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<unk>y <UNK>", "<|ENDOFTEXT|>", "<|endoftext|"])
+def test_special_tokens_inside_a_text(path, text):
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert ENCODERS[path].encode(text) == np.array(want, "<u4").tobytes()
+
+
 def ids_of(path, text, end):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids + [end]
 
 

@@ -58,7 +58,7 @@ class _Kept(dict):
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes; same ids as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Strings of special tokens inside a text are ordinary text. Two shapes of tokenizer get the fast
+    As in that call, a special token's string inside a text is that token; such texts go through the library whole. Two shapes of tokenizer get the fast
     way: byte-level BPE with its own pattern, and lower-casing BPE with word ends; others are
     encoded whole by the library.
     """
@@ -67,10 +67,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.marks = sorted({m for c in added for m in (c[0].lower(), c[0].upper())})  # first characters: a quick test
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search
         plain = model["type"] == "BPE" and not model.get("dropout") and not spec.get("truncation")
         byte_level = plain and spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" \
             and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"].get("add_prefix_space")
@@ -116,7 +118,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.kind == "whole" or _UNUSUAL.search(text):
+        if self.kind == "whole" or _UNUSUAL.search(text) or any(m in text for m in self.marks) and self.added(text):
             return self._whole(text)
         get = self.chunk.__getitem__
         if self.kind == "word":
