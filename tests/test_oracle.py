@@ -8,7 +8,9 @@ from tests.oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"lda_topics", "tag_all_stories", "word2vec_vectors", "word_synonyms", "word_similarity", "kmeans_words",
-        "linear_ml", "cluster_terms"}
+        "linear_ml", "cluster_terms",
+        # checked by their properties in test_stores, test_neighbours and test_topics
+        "linear_hinge", "cluster_stories", "nearest_vectors_indexed", "nearest_vectors_recall", "tag_stream"}
 
 
 @pytest.fixture(scope="module")
