@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm import words
-from threadlens.llm.common import arrow_texts, maybe_in, row_blocks, stored
+from threadlens.llm.common import arrow_texts, filter_places, in_filter, key_filter, maybe_in, row_blocks, stored
 from threadlens.llm.graph import components
 
 SHINGLE = 5
@@ -134,11 +134,14 @@ def sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``node, shingles`` (distinct, as 64-bit numbers) of every row with words."""
+def shingle_sets(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """``node, shingles`` (distinct, as 64-bit numbers) of every row with words whose ``doc_id`` is in ``wanted``, and of few others."""
+    keys = key_filter(wanted, "doc_id")
+    docs = docs.select("doc_id", "text", *(p.alias(f"p{k}") for k, p in enumerate(filter_places(F.col("doc_id")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_filter(keys.value, batch.column(2).to_numpy(), batch.column(3).to_numpy())))
             data, offsets = arrow_texts(batch.column(1))
             for a, b in row_blocks(offsets, _BLOCK):
                 part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
@@ -196,7 +199,7 @@ def _components(docs: DataFrame, sketched: DataFrame, similarity: float, shingle
     degree = stored(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
     wanted = stored(shared.select("doc_id").distinct(), "wanted")
     # texts stay where they are: a filter of bounded size picks them, and only shingle sets are shuffled
-    sets = shingle_sets(docs.where(maybe_in(wanted, "doc_id", F.col("doc_id"))), shingle).dropDuplicates(["node"])
+    sets = shingle_sets(docs, shingle, wanted).dropDuplicates(["node"])
     sets = stored(sets.join(degree.select("node"), "node", "left_semi"), "sets")
     left = shared.select("bucket", "n", "node")
     links, owed = [], []
