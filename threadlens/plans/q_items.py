@@ -10,7 +10,7 @@ from threadlens.operators import threads as C
 from threadlens.operators.ranking import top_n
 from threadlens.plans import sqlparts as S
 from threadlens.plans.registry import query
-from threadlens.sources.fixtures import ALLOWED_CATEGORIES, comment_lines, items
+from threadlens.sources.fixtures import ALLOWED_CATEGORIES, comment_lines, item_texts, items
 from threadlens.sources.tables import load
 
 W = S.with_
@@ -145,7 +145,7 @@ def link_forest(spark, sf):
 SELECT t.root_id, t.id, t.depth, md5(repeat(chr(9), t.depth) || i.text) AS indented_md5
 FROM tree t JOIN items i ON i.id = t.id""", recursive=True))
 def comment_depth(spark, sf):
-    return C.comment_depth(items(spark, sf)).select(
+    return C.comment_depth(items(spark, sf, text_apart=True), item_texts(spark, sf)).select(
         "root_id", "id", "depth", F.md5("indented").alias("indented_md5"))
 
 
@@ -158,7 +158,7 @@ FROM tree t JOIN items i ON i.id = t.id
 WHERE t.depth > 0 AND i.type = 'comment' AND i.text IS NOT NULL AND NOT coalesce(i.dead, FALSE)
   AND NOT EXISTS (SELECT 1 FROM tree c WHERE c.parent = t.id AND c.depth > 0)""", recursive=True))
 def leaf_corpus(spark, sf):
-    return C.leaf_corpus(items(spark, sf)).select(
+    return C.leaf_corpus(items(spark, sf, text_apart=True), item_texts(spark, sf)).select(
         "root_id", "id", "part", C.path_string().alias("path"), F.md5("text").alias("text_md5"))
 
 
@@ -167,14 +167,14 @@ SELECT t.root_id, t.id, t.depth, md5(i.text) AS text_md5
 FROM tree t JOIN items i ON i.id = t.id
 WHERE i.text IS NOT NULL AND NOT coalesce(i.dead, FALSE)""", recursive=True))
 def comment_corpus(spark, sf):
-    return C.comment_corpus(items(spark, sf)).select("root_id", "id", "depth", F.md5("text").alias("text_md5"))
+    return C.comment_corpus(items(spark, sf, text_apart=True), texts=item_texts(spark, sf)).select("root_id", "id", "depth", F.md5("text").alias("text_md5"))
 
 
 @query("thread_text_once", W(IT, _LIVE_NODES, _LIVE_ROOTS, S.tree_cte("live_nodes", "live_roots"), body="""
 SELECT t.root_id, t.id, 1 AS copies, md5(i.text) AS text_md5
 FROM tree t JOIN items i ON i.id = t.id WHERE i.text IS NOT NULL AND i.text <> ''""", recursive=True))
 def thread_text_once(spark, sf):
-    return C.thread_text(items(spark, sf), "once").select(
+    return C.thread_text(items(spark, sf, text_apart=True), "once", texts=item_texts(spark, sf)).select(
         "root_id", "id", "copies", F.md5("text").alias("text_md5"))
 
 
@@ -186,7 +186,7 @@ SELECT root_id, id, CASE WHEN nk = 0 THEN 1 ELSE nk END AS copies, text_md5 FROM
   WHERE i.text IS NOT NULL AND i.text <> '' AND t.root_id IN (SELECT root_id FROM tree WHERE depth > 0))""",
     recursive=True))
 def thread_text_legacy(spark, sf):
-    return C.thread_text(items(spark, sf), "legacy").select(
+    return C.thread_text(items(spark, sf, text_apart=True), "legacy", texts=item_texts(spark, sf)).select(
         "root_id", "id", "copies", F.md5("text").alias("text_md5"))
 
 
@@ -210,7 +210,7 @@ SELECT t.id, md5({S.unescape('i.text')}) AS text_md5, c.n AS descendants
 FROM tree t JOIN cnt c ON c.ancestor = t.id JOIN items i ON i.id = t.id
 WHERE t.depth > 0 AND c.n > 10""", recursive=True))
 def top_comments(spark, sf):
-    return C.top_comments(items(spark, sf), 10).select(
+    return C.top_comments(items(spark, sf, text_apart=True), 10, item_texts(spark, sf)).select(
         "id", F.md5("text").alias("text_md5"), "descendants")
 
 
