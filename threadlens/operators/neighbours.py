@@ -23,6 +23,8 @@ from threadlens.session import materialize
 QUERY_BLOCK = 4096
 #: Rows, and queries, that meet in one group of the index's probe join.
 CELL_BLOCK = 4096
+#: Similarities that a task holds at once (8 MB, and some copies of them).
+SIMILARITIES = 1_000_000
 #: Vectors that the index's centroids are fitted on (those with the smallest hash keys), and the most centroids.
 FIT_SAMPLE = 20_000
 MAX_CELLS = 4096
@@ -58,9 +60,13 @@ def _best(ids: np.ndarray, sims: np.ndarray, own: np.ndarray, k: int) -> tuple[n
 def _pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
     if not len(ids) or not len(query_ids):
         return pd.DataFrame({"query": [], "id": [], "cosine": []}).astype({"query": "int64", "id": "int64", "cosine": "float64"})
-    sims = np.round(queries @ rows.T, DIGITS)
-    q, r = _best(ids, sims, query_ids, k)
-    return pd.DataFrame({"query": query_ids[q], "id": ids[r], "cosine": sims[q, r]})
+    step, found = max(1, SIMILARITIES // len(ids)), []
+    for at in range(0, len(query_ids), step):
+        own = query_ids[at:at + step]
+        sims = np.round(queries[at:at + step] @ rows.T, DIGITS)
+        q, r = _best(ids, sims, own, k)
+        found.append(pd.DataFrame({"query": own[q], "id": ids[r], "cosine": sims[q, r]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
