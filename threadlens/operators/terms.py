@@ -102,6 +102,37 @@ def stemmed_grams(df: DataFrame, keys: Sequence[str], text_col: str = "text", hi
     return flat.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def top_stemmed_grams(df: DataFrame, key: str, n: int, text_col: str = "text", hi: int = 3,
+                      tokenizer: Callable[[Column], Column] = default_tokens) -> DataFrame:
+    """The ``n`` commonest of :func:`stemmed_grams`: ``(term, df, cf)`` by falling ``cf`` (ties by term), over texts named by ``key``.
+
+    A gram is no commoner than any of its stems, and single stems are grams too: one that holds a stem rarer than the n-th commonest
+    stem is not among the first n. So stems are counted first, and only grams of the (about n) stems that are left are made and
+    counted. Every text is read whole both times and the result is that of counting all grams.
+    """
+    words = materialize(explode_tokens(df, [], text_col, tokenizer).groupBy("term").agg(F.count(F.lit(1)).alias("cf")), "words")
+    stems = materialize(words.join(snowball_stems(words), "term").select("term", "stem", "cf"), "word_stems")
+    sums = stems.groupBy("stem").agg(F.sum("cf").alias("cf"))
+    found, least = sums.orderBy(F.col("cf").desc()).limit(n).agg(F.count(F.lit(1)), F.min("cf")).first()
+    often = sums.where(F.col("cf") >= (least if found == n else 0)).select("stem")
+    often = materialize(stems.join(often, "stem").select("term", "stem"), "often")
+    texts = df.select(key, text_col)
+    toks = texts.repartition(text_tasks(texts, texts.count()), key).select(key, tokenizer(F.col(text_col)).alias("_t"))
+    after = [F.slice("_t", k + 1, F.greatest(F.size("_t"), F.lit(0))).alias(f"_w{k}") for k in range(1, hi)]
+    rows = toks.select(key, F.col("_t").alias("_w0"), *after)
+    rows = rows.select(key, F.inline(F.arrays_zip(*[f"_w{k}" for k in range(hi)])))
+    for k in range(hi):
+        side = often.select(F.col("term").alias(f"_w{k}"), F.col("stem").alias(f"_{k}"))
+        rows = rows.join(side, f"_w{k}", "left" if k else "inner").drop(f"_w{k}")
+    grams, whole = [], F.lit(True)
+    for m in range(hi):
+        whole = whole & F.col(f"_{m}").isNotNull()      # no stem of the gram is a rare one
+        grams.append(F.when(whole, F.concat_ws(" ", *[f"_{k}" for k in range(m + 1)])))
+    flat = rows.select(key, F.explode(F.array(*grams)).alias("term")).where("term IS NOT NULL")
+    counted = doc_freq(flat.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return counted.select("term", "df", "cf").orderBy(F.col("cf").desc(), F.col("term")).limit(n)
+
+
 def term_count(tokens_col: str, term: str) -> Column:
     """Occurrences of ``term`` in a token array."""
     return F.size(F.filter(F.col(tokens_col), lambda t: t == F.lit(term)))
