@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import spare, stored
+from threadlens.llm.common import give_back, spare, stored
 
 WINDOW = 10
 #: Most characters of item texts in one automaton; a larger benchmark is scanned in several passes.
@@ -126,6 +126,7 @@ def _pass(state: DataFrame, block, text: str, words: str, hits: str, found: str,
     names, schema = state.columns, state.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         machine = automaton(held.value, window)
         ids = [None if i is None else str(i) for i, _ in held.value]
         for batch in batches:

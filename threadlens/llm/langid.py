@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import words
-from threadlens.llm.common import arrow_texts, row_blocks, spare
+from threadlens.llm.common import arrow_texts, give_back, row_blocks, spare
 
 #: Hash buckets of the n-gram distributions: a model has languages x 65,536 numbers whatever it was trained on.
 BITS = 16
@@ -175,6 +175,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     schema = state.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "mixture": F.lit(None).cast("map<string,double>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         langs, logs = held.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text)).cast(pa.string())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.llm.common import spare, stored
+from threadlens.llm.common import give_back, spare, stored
 from threadlens.llm.encode import encoder
 
 CAPACITY = 2048
@@ -44,6 +44,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most: int = CA
     schema = T.StructType(list(PIECES.fields) + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm import words
-from threadlens.llm.common import arrow_texts, filter_places, in_filter, key_filter, maybe_in, row_blocks, stored
+from threadlens.llm.common import arrow_texts, filter_places, give_back, in_filter, key_filter, maybe_in, row_blocks, stored
 from threadlens.llm.graph import components
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     """``doc_id, node, bands`` of every row of ``docs`` (``doc_id, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             data, offsets = arrow_texts(batch.column(1))
             for a, b in row_blocks(offsets, _BLOCK):
@@ -140,6 +141,7 @@ def shingle_sets(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", *(p.alias(f"p{k}") for k, p in enumerate(filter_places(F.col("doc_id")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(keys.value, batch.column(2).to_numpy(), batch.column(3).to_numpy())))
             data, offsets = arrow_texts(batch.column(1))
