@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -170,3 +171,15 @@ def test_whitening_drops_flat_directions(spark):
     rows = [(k, [float(k), 2.0 * k, 5.0]) for k in range(20)]
     got = whitening.whiten(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect()
     assert {r.component for r in got} == {1} and len(got) == 20
+
+
+def test_whitening_holds_the_matrix_it_reads(odd_vectors, monkeypatch):
+    call = whitening.callMLlibFunc
+
+    def late(name, *args):
+        if name == "getIndexedRows":
+            time.sleep(3)       # a matrix that nothing holds is gone from the JVM by now
+        return call(name, *args)
+
+    monkeypatch.setattr(whitening, "callMLlibFunc", late)
+    assert whitening.whiten(odd_vectors).count() > 0

@@ -141,7 +141,8 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return spark.createDataFrame([], shape)
     projected = _project(blocks, model, used)
     error = float(np.abs(gram(projected) / n - np.eye(used)).max())
-    white = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    indexed = projected.toIndexedRowMatrix()    # held: the JVM's matrix goes with Python's
+    white = callMLlibFunc("getIndexedRows", indexed._java_matrix_wrapper._java_model)
     white = white.select(F.col("index").alias("at"), vector_to_array("vector").alias("w"))
     away = F.zip_with("x", F.array(*[F.lit(s) for s in sums]), lambda x, s: (x * n - s).cast("decimal(19,0)"))
     deviation = F.aggregate(away, F.lit(0).cast("decimal(38,0)"), lambda a, d: (a + (d * d).cast("decimal(38,0)")).cast("decimal(38,0)"))
