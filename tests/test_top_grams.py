@@ -24,3 +24,27 @@ def test_rare_grams_are_not_made(spark, monkeypatch):
     assert E.top_stemmed_grams(docs, "doc_id", 2).count() == 2
     # only grams of the two commonest stems are counted
     assert {w for r in kept[0].select("term").distinct().collect() for w in r["term"].split()} == {"common", "word"}
+
+
+@pytest.mark.parametrize("n,first", [(1, 1), (2, 1), (2, 3), (3, 2), (5, 4), (4, 2000), (1000, 3)])
+def test_top_grams_same_as_counting_all(spark, n, first):
+    docs = spark.createDataFrame(TEXTS + [(8, "rare bird rare bird rare bird odd dog")], "doc_id long, text string")
+    count = {}
+    for r in docs.select(E.default_tokens("text").alias("t")).collect():
+        for m in (1, 2, 3):
+            for k in range(len(r.t) - m + 1):
+                gram = (m, " ".join(r.t[k:k + m]))
+                count[gram] = count.get(gram, 0) + 1
+    want = [(m, g, c, k + 1) for m in (1, 2, 3) for k, (c, g) in enumerate(sorted(((-c, g) for (o, g), c in count.items() if o == m))[:n])]
+    got = E.top_grams(docs, n, first=first).collect()
+    assert sorted((r["n"], r["gram"], -r["cnt"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_top_grams_makes_no_rare_grams(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"common word common word seldom{chr(97 + k)} odd{chr(97 + k)}") for k in range(20)], "doc_id long, text string")
+    made, make = [], E._grams_of
+    monkeypatch.setattr(E, "_grams_of", lambda *a: made.append(make(*a)) or made[-1])
+    got = E.top_grams(docs, 1, first=2).collect()
+    assert sorted((r["n"], r["gram"], r["cnt"]) for r in got) == [(1, "common", 40), (2, "common word", 40), (3, "common word common", 20)]
+    assert len(made) == 2       # a word of the second look must reach 20
+    assert all({w for r in grams.collect() for w in r["gram"].split()} == {"common", "word"} for grams in made)
