@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import decontam, langid, linefreq, packing, probminhash
 from threadlens.llm.common import spare, stored
-from threadlens.llm.encode import tokenizer_path
+from threadlens.llm.encode import KEPT_FEW, tokenizer_path
 from threadlens.sources.tables import load
 
 #: A document goes if no language has this share of it.
@@ -50,8 +50,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document's token pieces and their places in sequences of 2048 tokens."""
-    return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json")))
+    """Every remaining document's token pieces and their places in sequences of 2048 tokens.
+
+    Executors hold what the stages before have left, so their workers keep few words.
+    """
+    return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), kept=KEPT_FEW))
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from tests.llm.conftest import SF
 from tests.llm.test_text import brute_classes, brute_flags
+from threadlens.llm import encode
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,14 @@ def test_stages_with_odd_rows_and_columns(spark, clashing, empty):
             assert out.columns == docs.columns
             docs = out.persist()
         P.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_packing_keeps_few_words(spark, monkeypatch):
+    asked, make = [], P.packing.pieces
+    monkeypatch.setattr(P.packing, "pieces", lambda *a, **kw: asked.append(kw.get("kept")) or make(*a, **kw))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    few = P.pack(spark, docs, SF)
+    assert asked == [encode.KEPT_FEW] and encode.KEPT_FEW * 10 <= encode.KEPT
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    tiny, many = (make(docs, encode.tokenizer_path("word_bpe_49k.json"), kept=k).select(*cols) for k in (16, encode.KEPT))
+    assert sorted(map(tuple, few.select(*cols).collect())) == sorted(map(tuple, tiny.collect())) == sorted(map(tuple, many.collect()))

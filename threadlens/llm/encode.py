@@ -37,6 +37,10 @@ _BLANK, _MARKS = _byte_letters()[32], tuple(",.;:!?")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
+#: Words that an encoder keeps; and few of them, for workers that have little memory left: a tenth of it, over half as much time again.
+KEPT, KEPT_FEW = 1_000_000, 100_000
+
+
 class _Kept(dict):
     """A mapping filled by ``make``; when ``most`` entries are reached, the older half of its history goes."""
 
@@ -63,7 +67,7 @@ class Encoder:
     encoded whole by the library.
     """
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -135,14 +139,14 @@ class Encoder:
         return get("\n").join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file (one per Python worker and file)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """The worker's encoder for a vocabulary file (one per Python worker, file and number of words kept)."""
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = Encoder(path, kept)
+    return _ENCODERS[path, kept]
 
 
 def tokenizer_path(name: str) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm.common import give_back, spare, stored
-from threadlens.llm.encode import encoder
+from threadlens.llm.encode import KEPT, encoder
 
 CAPACITY = 2048
 SHARD_PIECES = 16_384
@@ -35,17 +35,18 @@ PIECES = T.StructType([
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most: int = CAPACITY,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, kept: int = KEPT) -> DataFrame:
     """Token pieces of every document (``doc_id, text``): ids of the whole text and ``end_id``, cut every ``most`` ids.
 
     Null and empty texts give one piece with the end id alone. Repeated rows are documents of their
-    own. ``with_ids`` adds the ids as an array. Other columns are not read.
+    own. ``with_ids`` adds the ids as an array. ``kept`` bounds the words whose ids a worker keeps, not the result.
+    Other columns are not read.
     """
     schema = T.StructType(list(PIECES.fields) + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, kept), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
