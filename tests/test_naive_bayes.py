@@ -47,3 +47,10 @@ def test_nb_ml_makes_vectors_once(spark, monkeypatch):
     assert got.count() == want.count() and len(calls) == 1
     same = got.join(want.select("doc_id", F.col("prediction").alias("p")), "doc_id").where("prediction = p").count()
     assert same >= 0.95 * got.count()
+
+
+def test_categories_write_no_table_of_comments_and_grams(spark, monkeypatch):
+    written, store = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name="table", **kw: written.append((name, df.columns)) or store(df, name, **kw))
+    assert Q.category_top3_accuracy(spark, SF).count() == 1
+    assert written and not any("term" in columns for _, columns in written)
