@@ -71,6 +71,19 @@ def test_copies_are_one_row_of_the_index_and_common_terms_are_not_posted(spark):
     assert SM.build_index(dt.limit(0)).rows.count() == 0
 
 
+def test_search_in_many_blocks_keeps_the_best_of_each_task(spark, monkeypatch):
+    monkeypatch.setattr(SM, "QUERY_ENTRIES", 40)
+    monkeypatch.setattr(SM, "PRODUCTS", 30)     # a few rows at a time, and held rows are cut down often
+    docs = counts(150, 3)
+    dt = spark.createDataFrame([(i, t, f) for i, c in docs.items() for t, f in c.items()], "id bigint, term string, tf bigint")
+    index = SM.build_index(dt)
+    reps = index.classes.where("id % 7 = 0").select(F.col("class").alias("id")).distinct()
+    found = SM.nearest_rows(index, reps, 0.0, 3)
+    assert found.count() <= 3 * reps.count() * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sorted((r.query, r.id, round(r.cosine, 6), r["rank"]) for r in SM.similar_documents(index, F.col("id") % 7 == 0, 0.3, 4).collect())
+    assert rows == brute(docs, 0.3, 4, lambda i: i % 7 == 0)
+
+
 # ---------------------------------------------------------------- vectors
 def vectors(n, dims, seed):
     rng = np.random.default_rng(seed)
