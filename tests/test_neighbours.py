@@ -133,3 +133,21 @@ def test_no_vectors(spark):
 def test_recall_of_the_index(spark):
     got = catalog.QUERIES["nearest_vectors_recall"](spark, SF).first()
     assert got.recall >= 0.9 and got.n == 50
+
+
+def test_recall_is_measured_and_tuned_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(NB, "sample_n", lambda *a: pytest.fail("a sample was drawn"))
+    got = catalog.QUERIES["nearest_vectors_recall"](spark, SF).first()
+    rows = NB.unit_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id", "embedding").count()
+    assert got.n == 10 * rows and got.recall >= NB.TARGET_RECALL
+
+
+def test_probes_are_as_many_as_the_given_neighbours_need(spark, monkeypatch):
+    df = NB.unit_vectors(spark.createDataFrame(vectors(300, 5, 1), "vec_id bigint, embedding array<double>"), "vec_id", "embedding")
+    index = NB.build_index(df, cells=12, fit_on=None)
+    exact = NB.nearest_exact(df, df, 10)
+    monkeypatch.setattr(NB, "SIMILARITIES", 100)    # a few rows at a time
+    rows, cell = {r.id: r.v for r in df.collect()}, {r.id: r.cell for r in index.rows.collect()}
+    places = sorted(list(np.argsort(-(index.centroids @ np.array(rows[r.query])), kind="stable")).index(cell[r.id]) for r in exact.collect())
+    for target in (0.5, 0.9, 1.0):
+        assert NB.tuned_probes(index, target=target, true=exact) == places[math.ceil(target * len(places)) - 1] + 1

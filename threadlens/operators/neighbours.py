@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from threadlens.operators.ranking import top_k_per_group
 from threadlens.operators.sampling import sample_n
-from threadlens.session import materialize
+from threadlens.session import materialize, scratch_path
 
 #: Query vectors that one pass of the exact mode sends to every task (64 components: 2 MB).
 QUERY_BLOCK = 4096
@@ -82,7 +82,7 @@ def nearest_exact(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     rows, spark = materialize(rows, "rows"), rows.sparkSession
     queries = materialize(queries, "queries")
     blocks = -(-queries.count() // QUERY_BLOCK)
-    parts = []
+    path, found_any = scratch_path(spark, "nearest"), False
     for b in range(blocks):     # dealt by hash: each block has about QUERY_BLOCK queries, however many there are
         block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
         if not len(block):
@@ -100,13 +100,13 @@ def nearest_exact(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             if best is not None:
                 yield best
 
-        parts.append(materialize(rows.mapInPandas(search, "query long, id long, cosine double"), "nearest"))
-    if not parts:
+        # every block's best rows go to one table and its queries are given back, so neither the plan nor the driver grows with the blocks
+        rows.mapInPandas(search, "query long, id long, cosine double").write.mode("append").parquet(path)
+        sent.destroy()
+        found_any = True
+    if not found_any:
         return spark.createDataFrame([], "query long, id long, cosine double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _ranked(out, k)
+    return _ranked(spark.read.schema("query long, id long, cosine double").parquet(path), k)
 
 
 @dataclass
@@ -122,16 +122,42 @@ def _cells(df: DataFrame, centroids: np.ndarray, n: int, name: str) -> DataFrame
     """Add ``name``: the ``n`` cells whose centroids have the largest dot product with ``v``, best first."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                sims = np.stack(batch["v"].to_numpy()) @ centroids.T
-                near = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-                yield batch.assign(**{name: list(near.astype("int32"))})
+            for part in _slices(batch, len(centroids)):
+                yield part.assign(**{name: list(_order(part, centroids)[:, :n].astype("int32"))})
 
     return df.mapInPandas(place, f"id long, v array<double>, {name} array<int>")
 
 
-def build_index(rows: DataFrame, cells: int | None = None, seed: int = 42) -> InvertedFile:
-    """Assign every row to its nearest centroid; centroids are fitted on at most :data:`FIT_SAMPLE` rows.
+def _slices(batch: pd.DataFrame, columns: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``batch``, so many at a time that :data:`SIMILARITIES` are held at once."""
+    step = max(1, SIMILARITIES // max(columns, 1))
+    for at in range(0, len(batch), step):
+        yield batch.iloc[at:at + step]
+
+
+def _order(batch: pd.DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The cells of each row, best first."""
+    return np.argsort(-(np.stack(batch["v"].to_numpy()) @ centroids.T), axis=1, kind="stable")
+
+
+def _places(homes: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``place, n``: how often a cell of ``homes`` (id, v, cells ARRAY<INT>) is the row's ``place``-th best, from 0."""
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(len(centroids), np.int64)
+        for batch in batches:
+            for part in _slices(batch, len(centroids)):
+                rank = np.argsort(_order(part, centroids), axis=1)
+                cells = part["cells"].to_numpy()
+                row = np.repeat(np.arange(len(part)), [len(c) for c in cells])
+                counts += np.bincount(rank[row, np.concatenate(cells)], minlength=len(counts))
+        at = np.nonzero(counts)[0]
+        yield pd.DataFrame({"place": at.astype("int32"), "n": counts[at]})
+
+    return homes.mapInPandas(place, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+
+
+def build_index(rows: DataFrame, cells: int | None = None, seed: int = 42, fit_on: int | None = FIT_SAMPLE) -> InvertedFile:
+    """Assign every row to its nearest centroid; centroids are fitted on at most ``fit_on`` rows (None: on all).
 
     ``cells`` is the root of the number of rows by default, and :data:`MAX_CELLS` at most. A cell with many rows is stored in
     blocks, so no later group depends on how full a cell is.
@@ -139,7 +165,8 @@ def build_index(rows: DataFrame, cells: int | None = None, seed: int = 42) -> In
     rows = materialize(rows, "unit")
     n = rows.count()
     cells = min(cells or max(1, round(n ** 0.5)), MAX_CELLS, max(n, 1))
-    sample = materialize(sample_n(rows, FIT_SAMPLE, seed, "id").select(array_to_vector("v").alias("features")), "fit")
+    fitted = rows if fit_on is None else sample_n(rows, fit_on, seed, "id")
+    sample = materialize(fitted.select(array_to_vector("v").alias("features")), "fit")
     centers = KMeans(k=cells, seed=seed, maxIter=10).fit(sample).clusterCenters() if n else []
     centroids = np.array(centers, np.float64)
     if not n:
@@ -152,18 +179,18 @@ def build_index(rows: DataFrame, cells: int | None = None, seed: int = 42) -> In
     return InvertedFile(centroids, materialize(placed.join(F.broadcast(sizes), "cell").select("cell", block.alias("block"), "id", "v"), "index"), sizes)
 
 
-def tuned_probes(index: InvertedFile, k: int = 10, target: float = TARGET_RECALL, seed: int = 7) -> int:
-    """The number of cells to probe so that ``target`` of the true ``k`` nearest rows of a sample lie in them.
+def tuned_probes(index: InvertedFile, k: int = 10, target: float = TARGET_RECALL, seed: int = 7, true: DataFrame | None = None) -> int:
+    """The number of cells to probe so that ``target`` of the true ``k`` nearest rows lie in them.
 
-    The sample are the :data:`TUNE_QUERIES` rows with the smallest hash keys; their true neighbours come from the exact search over
-    all rows. How many cells it takes depends on how well the vectors cluster.
+    ``true`` are the exact neighbours ``(query, id)`` of the rows to tune on; without it, of a sample: the :data:`TUNE_QUERIES` rows
+    with the smallest hash keys, searched exactly among all rows. How many cells it takes depends on how well the vectors cluster.
     """
     rows = index.rows.select("id", "v")
-    sample = materialize(sample_n(rows, TUNE_QUERIES, seed, "id"), "tune")
-    true = nearest_exact(rows, sample, k).select("query", "id")
-    near = _cells(sample, index.centroids, len(index.centroids), "near").select(F.col("id").alias("query"), F.posexplode("near").alias("place", "cell"))
-    homes = true.join(index.rows.select("id", "cell"), "id")
-    places = homes.join(near, ["query", "cell"]).groupBy("place").agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect()
+    if true is None:
+        true = nearest_exact(rows, materialize(sample_n(rows, TUNE_QUERIES, seed, "id"), "tune"), k)
+    homes = true.select("query", "id").join(index.rows.select("id", "cell"), "id")
+    homes = homes.groupBy(F.col("query").alias("id")).agg(F.collect_list("cell").alias("cells"))    # k cells at most
+    places = _places(rows.join(homes, "id").select("id", "v", "cells"), index.centroids).orderBy("place").collect()
     left = target * sum(r.n for r in places)
     for r in places:        # one row for each place, at most MAX_CELLS
         left -= r.n
